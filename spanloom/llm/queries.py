@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.decontaminate import op3_decontaminate
+from spanloom.llm.lines import OP7_SQL, op7_line_dedup
 from spanloom.llm.packing import op10_packing
+from spanloom.llm.secrets import op5_secrets
 from spanloom.llm.url_filter import OP2_SQL, op2_url_filter
+from spanloom.llm.winnow import op9_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_url_filter, op3_decontaminate, op10_packing)
+    ops = (op2_url_filter, op3_decontaminate, op5_secrets, op7_line_dedup, op9_winnowing, op10_packing)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL}
+    return {"op2_url_filter": OP2_SQL, "op7_line_dedup": OP7_SQL}
