@@ -29,7 +29,7 @@ from spanloom.llm import textbuf
 from spanloom.llm.shared import documents, held_out
 
 SEGMENT = 64
-MAX_ROWS = 4000
+MAX_ROWS = 3000
 SCHEMA = "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>"
 
 
@@ -96,8 +96,8 @@ def matrix(values: np.ndarray, start: np.ndarray, length: np.ndarray, fill: floa
     return np.where(mask, values[np.minimum(at, len(values) - 1)], fill), mask
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, least_docs: int = 3, ratio: float = 5.0, steps: int = 60, rate: float = 1.0, l2: float = 1e-3) -> Chain:
-    """Token labels by document frequencies, then gradient ascent on the chain's likelihood."""
+def fit(texts: list[str | None], toxic: np.ndarray, least: int = 3, ratio: float = 3.0, steps: int = 30, rate: float = 1.0, l2: float = 1e-3) -> Chain:
+    """Token labels by frequencies, then gradient ascent on the chain's likelihood."""
     empty = Chain(np.zeros(0, np.uint64), np.zeros(0), np.zeros((2, 2)), -30.0)
     data, off = textbuf.buffer(pa.array(texts, pa.string()))
     parts = [textbuf.hashed_words(d, o, textbuf.NOT_WORD) for _, _, d, o in textbuf.slabs(data, off)]
@@ -108,14 +108,20 @@ def fit(texts: list[str | None], toxic: np.ndarray, least_docs: int = 3, ratio:
     first = np.concatenate(([0], np.cumsum(counts)))
     doc = np.repeat(np.arange(len(counts)), counts)
     vocabulary, word = np.unique(hashes, return_inverse=True)
-    seen = np.unique(doc * len(vocabulary) + word)
-    bad = toxic[seen // len(vocabulary)] > 0
-    n1 = np.bincount(seen[bad] % len(vocabulary), minlength=len(vocabulary))
-    n0 = np.bincount(seen[~bad] % len(vocabulary), minlength=len(vocabulary))
-    odds = (n1 + 0.1) / (toxic.sum() + 1) / ((n0 + 0.1) / ((toxic == 0).sum() + 1))
-    marked = (n1 >= least_docs) & (odds >= ratio)
+    before = np.append(len(vocabulary), word[:-1])
+    before[first[:-1][counts > 0]] = len(vocabulary)
+    _, one = np.unique(word * (len(vocabulary) + 1) + before, return_index=True)
+    bad = toxic[doc] > 0
+    # a word counts once for each word before it, so that copies of a passage are one occurrence
+    _, one_bad = np.unique(np.where(bad, word * (len(vocabulary) + 1) + before, -1), return_index=True)
+    one_bad = one_bad[bad[one_bad]]
+    n = np.bincount(word[one], minlength=len(vocabulary))
+    n1 = np.bincount(word[one_bad], minlength=len(vocabulary))
+    share = bad.mean()
+    marked = n1 > ratio * n * share + 2
+    marked &= n1 > n * share + 5 * np.sqrt(n * share) + 2
     label = (marked[word] & (toxic[doc] > 0)).astype(float)
-    known = np.flatnonzero(n0 + n1 >= least_docs)
+    known = np.flatnonzero(np.bincount(word, minlength=len(vocabulary)) >= least)
     chain = Chain(vocabulary[known], np.zeros(len(known)), np.zeros((2, 2)), -3.0)
     index = np.append(np.arange(len(known)), len(known))[np.searchsorted(known, word).clip(max=len(known) - 1)] if len(known) else word * 0
     index = np.where(len(known) and known[np.minimum(index, len(known) - 1)] == word, index, len(known))
