@@ -12,13 +12,14 @@ from spanloom.llm.lines import OP7_SQL, op7_line_dedup
 from spanloom.llm.packing import op10_packing
 from spanloom.llm.quality import op8_quality
 from spanloom.llm.secrets import op5_secrets
+from spanloom.llm.suffixes import op4_suffix_dedup
 from spanloom.llm.toxicity import op6_toxicity
 from spanloom.llm.url_filter import OP2_SQL, op2_url_filter
 from spanloom.llm.winnow import op9_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_jaccard, op2_url_filter, op3_decontaminate, op5_secrets, op6_toxicity, op7_line_dedup, op8_quality, op9_winnowing, op10_packing)
+    ops = (op1_jaccard, op2_url_filter, op3_decontaminate, op4_suffix_dedup, op5_secrets, op6_toxicity, op7_line_dedup, op8_quality, op9_winnowing, op10_packing)
     return {f.__name__: f for f in ops}
 
 
