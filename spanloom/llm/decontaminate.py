@@ -11,6 +11,8 @@ an empty benchmark hits nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ from spanloom.llm.shared import documents
 _TABLE = bytes(0x20 if textbuf.NOT_WORD[b] else b for b in textbuf.LOWER.tolist())
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
-_automata: dict[int, object] = {}
+_automata: dict[bytes, object] = {}
 
 
 def normalise(raw: bytes) -> list[bytes]:
@@ -87,30 +89,61 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_windows:
     return grouped.withColumn("items", F.array_distinct("items"))
 
 
+def built(patterns: list):
+    """The automaton, kept by its patterns' digest while the Python worker lives."""
+    key = hashlib.sha256(pickle.dumps(patterns)).digest()
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = automaton(patterns)
+    return _automata[key]
+
+
+def scan_text(auto, text: str | None) -> tuple[int, list[tuple[int, int]], list[int]]:
+    """Number of words, merged hit word ranges, and the items hit; one pass over the text."""
+    w = normalise(text.encode()) if text else []
+    if not w or auto is None:
+        return len(w), [], []
+    flat = b" " + b" ".join(w) + b" "
+    ends, hit = [], {}
+    for end, (size, of) in auto.iter(flat.decode("latin-1")):
+        ends.append((end, size))
+        hit.update(dict.fromkeys(of))
+    if not ends:
+        return len(w), [], []
+    gaps = np.cumsum(np.frombuffer(flat, np.uint8) == 0x20)
+    return len(w), merged(sorted((int(gaps[e]) - 1 - size, int(gaps[e]) - 2) for e, size in ends)), list(hit)
+
+
+def filter_documents(docs: DataFrame, benchmark: DataFrame, least_items: int, width: int = 8, max_windows: int = 200_000) -> DataFrame:
+    """The rows of docs in which windows of fewer than least_items items occur, with all their columns.
+
+    A benchmark of one shard is judged in the scan itself, a larger one by a join on doc_id.
+    """
+    parts = shards(benchmark.select("item_id", "text"), width, max_windows)
+    names, patterns = next(parts)
+    if next(parts, None) is not None:
+        found = matches(docs, benchmark, width, max_windows).where(F.size("items") >= least_items)
+        return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    shared, at = docs.sparkSession.sparkContext.broadcast(patterns), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = built(shared.value) if shared.value else None
+        for batch in batches:
+            keep = [len(scan_text(auto, t)[2]) < least_items for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scanner(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, patterns = shared.value
-        key = shared.id if hasattr(shared, "id") else id(shared)
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton(patterns)
-        auto = _automata[key]
+        auto = built(patterns)
         for batch in batches:
             n_words, spans, items = [], [], []
             for text in batch.column(1).to_pylist():
-                w = normalise(text.encode()) if text else []
-                n_words.append(len(w))
-                own: list[tuple[int, int]] = []
-                hit: dict[int, None] = {}
-                if w and patterns:
-                    flat = b" " + b" ".join(w) + b" "
-                    ends = []
-                    for end, (size, of) in auto.iter(flat.decode("latin-1")):
-                        ends.append((end, size))
-                        hit.update(dict.fromkeys(of))
-                    if ends:
-                        gaps = np.cumsum(np.frombuffer(flat, np.uint8) == 0x20)
-                        own = merged(sorted((int(gaps[e]) - 1 - size, int(gaps[e]) - 2) for e, size in ends))
+                n, own, hit = scan_text(auto if patterns else None, text)
+                n_words.append(n)
                 spans.append(located(text, own))
                 items.append([names[i] for i in hit])
             kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))

@@ -103,6 +103,44 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max
     return spans.select("row", "doc_id").join(judged, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 
 
+def redact(docs: DataFrame, mark: str, owner: str = "source", repository: str = "doc_id", max_owners: int = 2) -> DataFrame:
+    """docs with the spans of live values replaced by `mark` in `text`, and n_chars recounted where it stands."""
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    spans = found(docs, owner, repository).withColumn("row", F.monotonically_increasing_id()).where(F.size("found") > 0)
+    live = ownership(spans).where(F.col("n_owners") <= max_owners).select("digest")
+    each = spans.select("row", F.explode("found").alias("s")).select("row", "s.start", "s.end", F.col("s.digest").alias("digest"))
+    cuts = each.join(live, "digest").groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    joined = numbered.join(cuts, "__row", "left").select(*docs.columns, "__cuts")
+    at = docs.columns.index("text")
+    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, chars = batch.column(at).to_pylist(), batch.column(count).to_pylist() if count is not None else []
+            for i, cuts in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if cuts:
+                    texts[i] = without(texts[i], [(c["start"], c["end"]) for c in cuts], mark)
+                    if count is not None:
+                        chars[i] = len(texts[i])
+            cols = list(batch.columns[:-1])
+            cols[at] = pa.array(texts, pa.string())
+            if count is not None:
+                cols[count] = pa.array(chars, batch.schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def without(text: str, cuts: list[tuple[int, int]], mark: str) -> str:
+    """The text with the union of sorted spans replaced, each run of overlapping spans by one mark."""
+    out, at = [], 0
+    for start, end in cuts:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
 def listed(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")

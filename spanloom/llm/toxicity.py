@@ -203,6 +203,18 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def filter_documents(docs: DataFrame, chain: Chain, threshold: float) -> DataFrame:
+    """The rows of docs whose `text` scores under the threshold, with all their columns, in one scan."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(chain), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, _ = scored(shared.value, batch.column(at), False)
+            yield batch.filter(pa.array(np.array(scores) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> pd.DataFrame:
     """At most max_rows labelled rows outside the held-out fold, the smallest by a digest of the id."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
