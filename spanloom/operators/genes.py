@@ -84,17 +84,11 @@ class Genes:
     def annotation_sets(self, key: str = "gene_name") -> DataFrame:
         """(class, priority, chrom, start, end): bodies as they are, the other four sets merged."""
         locus = ["chrom", "start", "end", "strand", "ord"]
-        f = self.features
-        merged = [
-            self.tss_windows(key).df, f.where("feature = 'UTR' and utr_type = '5'''").select(*locus),
-            f.where("feature = 'UTR' and utr_type = '3'''").select(*locus), f.where("feature = 'exon'").select(*locus),
-        ]
-        sets = [merge(x).select("chrom", "start", "end") for x in merged] + [self.genes.select("chrom", "start", "end")]
-        out = None
-        for k, (name, rows) in enumerate(zip(CLASSES, sets)):
-            rows = rows.select(F.lit(name).alias("class"), F.lit(k).alias("priority"), "chrom", "start", "end")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        kind = F.when(F.col("feature") == "exon", 3).when(F.col("utr_type") == "5'", 1).when(F.col("utr_type") == "3'", 2)
+        parts = self.features.select(kind.alias("priority"), *locus).where("priority is not null")
+        merged = merge(parts.unionByName(self.tss_windows(key).df.select(F.lit(0).alias("priority"), *locus)), by=("priority",))
+        rows = merged.select("priority", "chrom", "start", "end").unionByName(self.genes.select(F.lit(4).alias("priority"), "chrom", "start", "end"))
+        return rows.select(F.get(F.array(*[F.lit(c) for c in CLASSES]), F.col("priority")).alias("class"), "priority", "chrom", "start", "end")
 
     def annotations(self, loci: Loci, key: str = "gene_name") -> DataFrame:
         """(ord, uid, annotation) of every locus: the class of least priority that it overlaps, else Intergenic.
@@ -112,8 +106,9 @@ class Genes:
         """The nearest promoter window of each locus, named by its gene."""
         named = self.tss(key=key)
         out = loci.nearest(Loci(named.drop("name")).slop(self.promoter_r), o_names=F.col("ord").cast("string"))
-        names = named.select(F.col("ord").cast("string").alias("Name_b"), "name")
-        return out.join(names, "Name_b").drop("Name_b").withColumnRenamed("name", "Name_b")
+        names = named.select(F.col("ord").cast("string").alias("Name_b"), F.col("name").alias("gene"))
+        columns = [F.col("gene").alias("Name_b") if c == "Name_b" else F.col(c) for c in out.columns]
+        return out.join(names, "Name_b").select(*columns)
 
 
 def utr_type() -> Column:

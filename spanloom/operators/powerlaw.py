@@ -27,10 +27,19 @@ def fit(points: DataFrame, grid: int = 41, rounds: int = 7, reach: float = 1.0)
     estimate outward. A round is one aggregate that judges a whole grid of exponents over
     per-distance sums; no point reaches the driver.
     """
+    points = points.where(usable()).select("d", "w").persist()
+    sums = points.groupBy("d").agg(F.count("*").alias("m"), F.sum("w").alias("s")).persist()
+    try:
+        return _search(points, sums, grid, rounds, reach)
+    finally:
+        points.unpersist()
+        sums.unpersist()
+
+
+def _search(points: DataFrame, sums: DataFrame, grid: int, rounds: int, reach: float) -> tuple[float, float] | None:
     first = ols(points).first()
     if first is None or first["slope"] is None or math.isnan(first["slope"]):
         return None
-    sums = points.where(usable()).groupBy("d").agg(F.count("*").alias("m"), F.sum("w").alias("s"))
     scale = sums.agg((F.sum(F.col("m") * F.log("d")) / F.sum("m")).alias("l"), F.count("*").alias("k")).first()
     if scale["k"] < 2:
         return None

@@ -465,11 +465,11 @@ def signal_set_labels(spark):
 
 
 def genome(spark: SparkSession) -> DataFrame:
-    raw = spark.table("documents").where("text is not null and doc_id is not null").select(F.expr("concat('chr', doc_id, ' x\n', replace(upper(substr(text, 1, 4000)), '\n', ' '))").alias("value"), F.col("doc_id").alias("ord"))
+    raw = spark.table("documents").where("text is not null and doc_id is not null").select(F.expr("concat('chr', doc_id, ' x\n', replace(substr(text, 1, 4000), '\n', ' '))").alias("value"), F.col("doc_id").alias("ord"))
     return text.parse_records(raw.withColumn("value", F.replace("value", F.lit(">"), F.lit("N"))))
 
 
-@query("select concat('chr', doc_id) as name, trim(replace(replace(upper(substr(text, 1, 4000)), chr(10), ' '), '>', 'N'), ' ') as seq from documents where trim(replace(text, chr(10), ' '), ' ') <> ''")
+@query("select concat('chr', doc_id) as name, trim(replace(replace(substr(text, 1, 4000), chr(10), ' '), '>', 'N'), ' ') as seq from documents where trim(replace(text, chr(10), ' '), ' ') <> ''")
 def fasta_parse(spark):
     return genome(spark).select("name", "seq")
 
@@ -480,7 +480,7 @@ def _spots(spark: SparkSession) -> Loci:
 
 
 @query("""select doc_id as ord, substr(seq, (doc_id % 97)::int + 1, 60) as sequence from (
-select doc_id, trim(replace(replace(upper(substr(text, 1, 4000)), chr(10), ' '), '>', 'N'), ' ') as seq from documents where trim(replace(text, chr(10), ' '), ' ') <> '')""")
+select doc_id, trim(replace(replace(substr(text, 1, 4000), chr(10), ' '), '>', 'N'), ' ') as seq from documents where trim(replace(text, chr(10), ' '), ' ') <> '')""")
 def locus_sequence(spark):
     g = genome(spark)
     known = g.select(F.col("name").alias("chrom"))
@@ -492,8 +492,8 @@ def locus_sequence(spark):
 MOTIF = [("TATA", [[1, 1, 1, 17], [17, 1, 1, 1], [1, 1, 1, 17]]), ("none", [[20, 0, 0, 0]] * 9)]
 
 
-@query("""select m as motif, v as score from (values ('none', 0.0::double), ('TATA', (select coalesce(sum(case when substr(w, i + 1, 3) = 'TAT' then 1 else 0 end), 0) / 3.0 from (
-select substr(trim(replace(replace(upper(substr(text, 1, 4000)), chr(10), ' '), '>', 'N'), ' '), (doc_id % 97)::int + 1, 60) as w from documents) cross join (select unnest(range(58)) as i))::double)) t(m, v)""")
+@query("""select m as motif, v as score from (values ('none', 0.0::double), ('TATA', (select coalesce(sum(case when lower(substr(w, i + 1, 3)) = 'tat' then 1 else 0 end), 0) / 3.0 from (
+select substr(trim(replace(replace(substr(text, 1, 4000), chr(10), ' '), '>', 'N'), ' '), (doc_id % 97)::int + 1, 60) as w from documents) cross join (select unnest(range(58)) as i))::double)) t(m, v)""")
 def motif_scan(spark):
     g = genome(spark)
     seqs = _motifs.cut_sequences(Loci(_spots(spark).df), _motifs.tiles(g), None)
