@@ -105,14 +105,20 @@ def next_ids(ids: DataFrame, shift: int = 10, levels: int = 3) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text. Texts are shuffled by id, and from that same exchange lent to the id before."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text, next_text. Texts are shuffled by id, and from that same exchange lent to the id before.
+
+    Both uses of the texts are the bare columns under the same filter, or Spark would shuffle them twice.
+    """
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", "text")
     known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
     before = next_ids(docs.select("doc_id")).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asked_by"))
     lent = known.join(before, "doc_id").select("asked_by", F.col("text").alias("next_text"))
     one = lent.withColumn("k", F.row_number().over(Window.partitionBy("asked_by").orderBy("next_text"))).where("k = 1")
-    out = known.join(one, known["doc_id"] == one["asked_by"], "left").select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
-    return out.unionByName(unknown.withColumn("next_text", F.lit("")))
+    out = known.join(one, known["doc_id"] == one["asked_by"], "left").select("doc_id", "text", "next_text")
+    out = out.unionByName(unknown.withColumn("next_text", F.lit("")))
+    return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("next_text", F.lit("")).alias("next_text"))
 
 
 def fingerprints(docs: DataFrame, w: int = 8) -> DataFrame:
