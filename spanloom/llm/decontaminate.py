@@ -26,7 +26,7 @@ from spanloom.llm.shared import documents
 
 _TABLE = bytes(0x20 if textbuf.NOT_WORD[b] else b for b in textbuf.LOWER.tolist())
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-SCHEMA = "doc_id long, n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
+SCHEMA = "doc_id long, row long, n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
 _automata: dict[bytes, object] = {}
 
 
@@ -76,17 +76,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_windows:
     scanned in as many shards as it needs, each against all documents, and the shards' spans are merged.
     """
     spark, out, count = docs.sparkSession, None, 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     for names, patterns in shards(benchmark.select("item_id", "text"), width, max_windows):
         shared = spark.sparkContext.broadcast((names, patterns))
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        if count:
-            part = part.withColumn("text", F.col("text"))
-        part = part.mapInArrow(scanner(shared), SCHEMA)
+        part = rows.mapInArrow(scanner(shared), SCHEMA)
         out, count = part if out is None else out.unionByName(part), count + 1
-    if count == 1:
-        return out
-    grouped = out.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return grouped.withColumn("items", F.array_distinct("items"))
+    if count > 1:
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        out = out.withColumn("items", F.array_distinct("items"))
+    return out.select("doc_id", "n_words", "spans", "items")
 
 
 def built(patterns: list):
@@ -147,7 +145,7 @@ def scanner(shared):
                 spans.append(located(text, own))
                 items.append([names[i] for i in hit])
             kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "items"])
 
     return scan
 

@@ -52,28 +52,44 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from textbuf.shingle_sets(part, at, k)
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls in each bucket; about two and a half to five buckets a shingle."""
+    size = 64
+    while size < 5 * len(shingles) // 2:
+        size *= 2
+    return np.packbits(np.bincount((shingles >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def parity_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the symmetric difference: buckets of unequal parity. The longer one is folded to the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def summarise(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, node) of each row, and each task's counts by shingle bucket as (slice, part) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        names = ["doc_id", "n", "node", "slice", "part"]
+        names = ["doc_id", "n", "node", "parity", "slice", "part"]
         for batch in batches:
-            n, nodes = [], []
+            n, nodes, marks = [], [], []
             for x in sets_of(batch.column(1), k):
                 n.append(len(x))
                 nodes.append(node_of(x) if len(x) else None)
-                counts += 0 if not len(x) else np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(x) > SKETCH // 8 else 0
-                if 0 < len(x) <= SKETCH // 8:
-                    np.add.at(counts, (x & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                marks.append(parity(x))
+                np.add.at(counts, (x & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             rows = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         used = [i for i in range(SKETCH // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
         parts = [counts[i * SLICE : (i + 1) * SLICE].tobytes() for i in used]
         empty = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, slice int, part binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, parity binary, slice int, part binary")
 
 
 def merged_counts(parts: DataFrame) -> np.ndarray:
@@ -248,21 +264,24 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
-    """A lower bound of the symmetric difference of sorted sets: halves that differ in size differ in elements."""
-    if depth == 0 or not len(x) or not len(y):
-        return abs(len(x) - len(y))
-    mid = x[len(x) // 2]
-    i, j = len(x) // 2, int(np.searchsorted(y, mid))
-    return suffix_bound(x[:i], y[:j], depth - 1) + suffix_bound(x[i:], y[j:], depth - 1)
+def suffix_filtered(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the suffix filter lets pass: the parities of their whole sets bound the
+    difference of what follows the shared token, in a few hundredths of the sets' size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            ok = [i for i in range(len(a)) if parity_bound(np.frombuffer(x[i], np.uint8), np.frombuffer(y[i], np.uint8)) <= n[i] + m[i] + 2 * (-percent * (n[i] + m[i]) // (100 + percent))]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], ["a", "b"])
+
+    left = marks.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("parity").alias("x"))
+    right = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, after the suffix filter."""
+    """100 * intersection >= percent * union."""
     total = len(x) + len(y)
-    least = -(-percent * total // (100 + percent))
-    if suffix_bound(x, y) > total - 2 * least:
-        return False
     both = np.concatenate((x, y))
     both.sort()
     inter = int((both[1:] == both[:-1]).sum())
@@ -296,18 +315,23 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     rows = summary.where("part is null").select("doc_id", "n", "node")
     blocks = ws.table(shared_tokens(prefixes(docs, counts, k, percent)), "blocks")
     ws.free()
-    sets = ws.table(whole_sets(docs, blocks.select("node").distinct(), k), "sets")
-    ws.free()
-
-    met = met_pairs(labelled(blocks, None), percent, star=True)
-    nearest = met.groupBy("b").agg(F.min(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    tried = ws.table(nearest, "star")
-    edges = ws.table(verified(tried, sets, percent), "links")
+    met = blocks.select("node").distinct()
+    marks = ws.table(summary.where("node is not null").select("node", "n", "parity").join(met, "node", "left_semi").dropDuplicates(["node"]), "marks")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        left = ws.table(suffix_filtered(pairs, marks, percent), "pairs")
+        nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+        out = ws.table(verified(left, whole_sets(docs, nodes, k), percent), "links")
+        ws.free()
+        return out
+
+    near = met_pairs(labelled(blocks, None), percent, star=True).groupBy("b").agg(F.min(F.struct("n", "a")).alias("m"))
+    tried = ws.table(near.select(F.col("m.a").alias("a"), "b"), "star")
+    edges = links(tried)
     labels = components(ws, edges)
-
     rest = met_pairs(labelled(blocks, labels), percent, star=False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = ws.table(verified(rest, sets, percent), "links")
-    labels = components(ws, edges.unionByName(more))
+    labels = components(ws, edges.unionByName(links(rest)))
+    ws.drop(blocks, marks)
     ws.free()
 
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left")

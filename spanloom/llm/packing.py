@@ -74,12 +74,12 @@ class Coder:
         solid = (data < 0x80) & (data > 0x20) & (data != 0x7F)  # ASCII that is neither space nor control
         letter = solid | (data == 0xC3)  # and the lead byte of the Latin letters next to it
         cut = np.zeros(n, bool)
-        cut[1:-1] = (data[1:-1] == 0x20) & (solid[:-2] | ((data[:-2] >= 0x80) & np.concatenate(([False], data[: n - 3] == 0xC3))) ) & letter[2:]
-        edge = off[:-1][np.diff(off) > 0]
-        cut[edge] = True
-        last = off[1:][np.diff(off) > 0] - 1
-        cut[last[data[last] == 0x20]] = False
-        cut[edge] = True
+        if n >= 3:
+            before = solid[:-2].copy()
+            before[1:] |= (data[1:-2] >= 0x80) & (data[:-3] == 0xC3)
+            cut[1:-1] = (data[1:-1] == 0x20) & before & letter[2:]
+        cut[off[1:][np.diff(off) > 0] - 1] = False
+        cut[off[:-1][np.diff(off) > 0]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
         keys = textbuf.ranges_hash(textbuf.prefix_sums(data), start, end)
