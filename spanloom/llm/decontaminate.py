@@ -181,3 +181,21 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
     n_items = F.size("items").cast("long")
     return found.select("doc_id", "n_words", hit_words().alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
+
+
+OP3_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as ws from benchmark),
+win as (
+  select distinct item_id, least(8, len(ws)) as size, array_to_string(list_slice(ws, i, i + 7), ' ') as g
+  from (select item_id, ws, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) as i from b where len(ws) > 0)
+), sizes as (select distinct size from win),
+own as (
+  select doc_id, size, i, array_to_string(list_slice(ws, i, i + size - 1), ' ') as g
+  from (select doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) as i from d, sizes where len(ws) >= size)
+), found as (select doc_id, item_id, i, own.size from own join win on own.g = win.g and own.size = win.size),
+hit as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + size)) as k from found) group by doc_id),
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from found group by doc_id)
+select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join hit using (doc_id) left join items using (doc_id)
+"""

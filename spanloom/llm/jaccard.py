@@ -344,3 +344,19 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') as ws from documents
+), s as (
+  select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')))
+                      when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w
+), e as (select doc_id, len(sh) as n, unnest(sh) as g from s
+), met as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), links as (select a, b from met where 100 * c >= 75 * (n + m - c)
+), ways as (select a, b from links union all select b, a from links
+), reach as (select doc_id, doc_id as r from s union select ways.b, reach.r from reach join ways on ways.a = reach.doc_id)
+select s.doc_id, len(sh) as n_shingles, min(r) as component_id from s left join reach using (doc_id) group by s.doc_id, len(sh)
+"""

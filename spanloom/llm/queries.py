@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.decontaminate import op3_decontaminate
-from spanloom.llm.jaccard import op1_jaccard
+from spanloom.llm.decontaminate import OP3_SQL, op3_decontaminate
+from spanloom.llm.jaccard import OP1_SQL, op1_jaccard
 from spanloom.llm.lines import OP7_SQL, op7_line_dedup
 from spanloom.llm.packing import op10_packing
 from spanloom.llm.quality import op8_quality
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_jaccard": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_decontaminate": OP3_SQL, "op7_line_dedup": OP7_SQL}
