@@ -1,10 +1,12 @@
 """Interval joins without a nested loop.
 
-An interval belongs to the finest level whose bins are at least as wide as it is, so it
+An interval's own level is the finest whose bins are at least as wide as it is, so it
 meets two bins of that level, or of any coarser one, at most. A pair meets on the
-coarser of its two levels, in the bin of the larger start: an equi-join on (chrom,
-level, bin) that emits each pair once, whatever the mix of widths. Joins of very
-different densities stay splittable by AQE, as the key is fine on the dense levels.
+coarser of its two levels: either side's intervals on their own level join the other
+side's on all levels from their own on (the second time: above their own). That is an
+equi-join on (chrom, level, bin), whatever the mix of widths; narrow intervals never
+meet on a coarse level unless one of them is wide. Of the bins that a pair shares, the
+one of the larger first base emits it, once.
 """
 
 from __future__ import annotations
@@ -14,50 +16,52 @@ from pyspark.sql import functions as F
 
 LEVELS = (8, 12, 16, 20, 24, 28)
 LOCUS = ("chrom", "start", "end", "strand", "ord")
+_TOP = 63
 
 
-def _ends() -> tuple[Column, Column]:
-    """First and last base; an empty or inverted interval spans the bases between its ends."""
-    last = F.col("end") - 1
-    return F.least("start", last), F.greatest("start", last)
-
+def binned(df: DataFrame, which: str, prefix: str, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """All columns, prefixed, with <prefix>_lo and the keys <prefix>_chrom, _level and _bin.
 
-def binned(df: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """Adds _own (the interval's level), _level and _bin, one row a level from its own on and bin."""
-    lo, hi = _ends()
-    own = F.lit(63)
+    which levels: `own`, `all` from its own on, or those `above` its own. An empty or inverted
+    interval spans the bases between its ends.
+    """
+    last = F.col("end") - 1
+    lo, hi = F.least("start", last), F.greatest("start", last)
+    own = F.lit(_TOP)
     for level in reversed(levels):
         own = F.when(hi - lo < (1 << level), F.lit(level)).otherwise(own)
-    out = df.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_own", own)
-    all_levels = F.array(*[F.lit(x) for x in (*levels, 63)])
-    out = out.withColumn("_level", F.explode(F.filter(all_levels, lambda x: x >= F.col("_own"))))
-    at = lambda c: F.when(F.col("_level") == 63, F.lit(0).cast("long")).otherwise(F.expr(f"shiftright({c}, _level)"))
-    return out.withColumn("_bin", F.explode(F.sequence(at("_lo"), at("_hi"))))
+    out = df.where("chrom is not null and start is not null and end is not null").withColumns({"__lo": lo, "__hi": hi, "__own": own})
+    if which == "own":
+        out = out.withColumn("__level", F.col("__own"))
+    else:
+        keep = (lambda x: x >= F.col("__own")) if which == "all" else (lambda x: x > F.col("__own"))
+        out = out.withColumn("__level", F.explode(F.filter(F.array(*[F.lit(x) for x in (*levels, _TOP)]), keep)))
+    out = out.withColumn("__bin", F.explode(F.sequence(_bin("__lo", "__level"), _bin("__hi", "__level"))))
+    kept = [F.col(c).alias(f"{prefix}{c}") for c in df.columns]
+    return out.select(*kept, F.col("__lo").alias(f"{prefix}_lo"), F.col("chrom").alias(f"{prefix}_chrom"), F.col("__level").alias(f"{prefix}_level"), F.col("__bin").alias(f"{prefix}_bin"))
 
 
-def _sides(a: DataFrame, b: DataFrame, levels: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    x = binned(a, levels)
-    y = binned(b, levels)
-    x = x.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], F.col("_lo").alias("a__lo"), F.col("_own").alias("a__own"), "_level", "_bin", F.col("chrom").alias("_chrom"))
-    y = y.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.col("_lo").alias("b__lo"), F.col("_own").alias("b__own"), F.col("_level").alias("_level_b"), F.col("_bin").alias("_bin_b"), F.col("chrom").alias("_chrom_b"))
-    return x, y
+def _bin(base: str, level: str) -> Column:
+    return F.when(F.col(level) == _TOP, F.lit(0).cast("long")).otherwise(F.expr(f"shiftright({base}, {level})"))
 
 
-def _met() -> Column:
-    """The level and bin in which a pair is judged, and the overlap itself."""
-    level = F.greatest("a__own", "b__own")
-    canonical = (F.col("_level") == level) & (F.col("_bin") == F.when(F.col("_level") == 63, F.lit(0).cast("long")).otherwise(F.expr("shiftright(greatest(a__lo, b__lo), _level)")))
-    return canonical & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end"))
+def met() -> Column:
+    """Equal keys, the overlap, and the pair's one bin, of rows prefixed a_ and b_."""
+    keys = (F.col("a__chrom") == F.col("b__chrom")) & (F.col("a__level") == F.col("b__level")) & (F.col("a__bin") == F.col("b__bin"))
+    first = F.when(F.col("a__level") == _TOP, F.lit(0).cast("long")).otherwise(F.expr("shiftright(greatest(a__lo, b__lo), a__level)"))
+    return keys & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("a__bin") == first)
 
 
-def _keys() -> Column:
-    return (F.col("_chrom") == F.col("_chrom_b")) & (F.col("_level") == F.col("_level_b")) & (F.col("_bin") == F.col("_bin_b"))
+def sides(a: DataFrame, b: DataFrame, levels: tuple[int, ...] = LEVELS) -> list[tuple[DataFrame, DataFrame]]:
+    """The two joins that together have every pair once: the wider one is of `a` (or none is), or of `b`."""
+    return [(binned(a, x, "a_", levels), binned(b, y, "b_", levels)) for x, y in (("own", "all"), ("above", "own"))]
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """All overlapping pairs, once each, with all columns prefixed a_ and b_."""
-    x, y = _sides(a, b, levels)
-    return x.join(y, _keys() & _met()).select(*[f"a_{c}" for c in a.columns], *[f"b_{c}" for c in b.columns])
+    columns = [*[f"a_{c}" for c in a.columns], *[f"b_{c}" for c in b.columns]]
+    one, two = (x.join(y, met()).select(*columns) for x, y in sides(a, b, levels))
+    return one.unionByName(two)
 
 
 def hits(a: DataFrame, b: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
@@ -66,8 +70,9 @@ def hits(a: DataFrame, b: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFr
     Rows of equal coordinates are judged once, and the first hit of a bin ends its search.
     """
     coords = ["chrom", "start", "end"]
-    x, y = _sides(a.select(*coords).distinct(), b.select(*coords).distinct(), levels)
-    return x.join(y, _keys() & _met(), "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in coords]).distinct()
+    out = [F.col(f"a_{c}").alias(c) for c in coords]
+    one, two = (x.join(y, met(), "left_semi").select(*out) for x, y in sides(a.select(*coords).distinct(), b.select(*coords).distinct(), levels))
+    return one.unionByName(two).distinct()
 
 
 def intersect(a: DataFrame, b: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:

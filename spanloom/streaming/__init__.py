@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import slop
-from spanloom.operators.overlap import LEVELS, _keys, _met, _sides
+from spanloom.operators.overlap import LEVELS, met, overlap_pairs, sides
 
 
 def slop_stream(loci: DataFrame, n: int) -> DataFrame:
@@ -15,21 +15,18 @@ def slop_stream(loci: DataFrame, n: int) -> DataFrame:
 
 
 def intersect_stream(loci: DataFrame, other: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """Stream rows that overlap a static row: a stateless stream-static semi join on the interval bins.
+    """Stream rows that overlap a static row: stateless stream-static semi joins on the interval bins.
 
-    A stream row has a copy a level and bin, and each copy meets other static rows; the flag of the
-    copies is taken together without state by keeping only the canonical copy of the first match, so
-    a row that overlaps several static rows may come once for each bin in which it does.
+    Without state a row can't be told from its copies in other bins, so a row that overlaps several
+    static rows may come once for each bin in which it does; a batch sink drops those by ord.
     """
-    coords = other.select("chrom", "start", "end").distinct()
-    x, y = _sides(loci, coords, levels)
-    return x.join(y, _keys() & _met(), "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in loci.columns])
+    one, two = (x.join(y, met(), "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in loci.columns]) for x, y in sides(loci, other.select("chrom", "start", "end").distinct(), levels))
+    return one.unionByName(two)
 
 
 def pairs_stream(loci: DataFrame, other: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Overlapping pairs of a stream with static loci, each once."""
-    x, y = _sides(loci, other, levels)
-    return x.join(y, _keys() & _met()).select(*[f"a_{c}" for c in loci.columns], *[f"b_{c}" for c in other.columns])
+    return overlap_pairs(loci, other, levels)
 
 
 def counts_stream(events: DataFrame, time: str, key: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
