@@ -62,6 +62,15 @@ class Genes:
     def __repr__(self) -> str:
         return f"Genes(filename={self.filename})"
 
+    def add_features(self, rows: DataFrame) -> "Genes":
+        """With more exon, CDS or UTR rows (columns of `features`)."""
+        return Genes(self.genes, self.transcripts, self.features.unionByName(rows), self.promoter_r, self.filename, self.unmapped)
+
+    def add_transcripts(self, rows: DataFrame) -> "Genes":
+        """With more transcripts (columns of `transcripts`); one of a known id replaces it."""
+        kept = self.transcripts.join(rows.select("transcript_id"), "transcript_id", "left_anti").select(*self.transcripts.columns)
+        return Genes(self.genes, kept.unionByName(rows), self.features, self.promoter_r, self.filename, self.unmapped)
+
     def table(self) -> DataFrame:
         """(feature, n) of Transcripts, Exons, CDS and UTR."""
         kinds = self.features.groupBy("feature").agg(F.count("*").alias("n"))

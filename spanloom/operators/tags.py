@@ -67,6 +67,13 @@ class Tags:
             self._aliases[str(name)] = aliases(str(name))
         return self
 
+    def add_annotations(self, genes) -> "Tags":
+        """One set tag for each annotation class of a gene model: the loci that overlap it."""
+        sets = genes.annotation_sets()
+        for (name,) in sets.select("class").distinct().orderBy("class").collect():
+            self.add({name: Loci(sets.where(F.col("class") == name).select("chrom", "start", "end"))}, mode="overlap")
+        return self
+
     def _entry(self, payload, mode: str) -> tuple[str, DataFrame]:
         nil = [F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("str")]
         if isinstance(payload, Loci):

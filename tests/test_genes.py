@@ -70,3 +70,12 @@ def test_missing_tss_type(spark, tmp_path):
     assert made(spark, tmp_path).tss(["none"]).isEmpty()
     with pytest.raises(NotImplementedError):
         Loci.make(spark, "a.gff3")
+
+
+def test_additions_and_annotation_tags(spark, tmp_path):
+    g = made(spark, tmp_path)
+    assert g.add_features(g.features.limit(2)).features.count() == 9
+    more = g.add_transcripts(g.transcripts.where("transcript_id = 'T1'").unionByName(g.transcripts.where("transcript_id = 'T2'").selectExpr("'T3' as transcript_id", "gene_id", "chrom", "start", "end", "strand", "ord")))
+    assert sorted(r[0] for r in more.transcripts.select("transcript_id").collect()) == ["T1", "T2", "T3"]
+    tags = Loci.of(spark, [("chr1", 1050, 1060), ("chr1", 2000, 2010)]).map({}).add_annotations(g)
+    assert [r["start"] for r in tags.query(lambda x: x.exonic & x["promoter-tss"]).df.collect()] == [1050]
