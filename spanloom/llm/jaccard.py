@@ -7,7 +7,7 @@ prefixes; the length, positional and suffix filters drop what can't reach the
 similarity; what is left is verified once on the whole sets.
 
 A group of near copies is not expanded into its pairs: each node is first verified
-against the smallest node that it meets, the verified links are joined to components,
+against the leader that it meets most often, the verified links are joined to components,
 and only then pairs that meet but lie in different components are verified, all of them.
 Within a component no further pair can change the result, so no link is lost.
 
@@ -19,6 +19,7 @@ columns are ignored. Nodes are 64-bit digests of sets.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from spanloom.llm.shared import SLICE, Workspace, documents, merged_array
 
 SKETCH = 1 << 18
 BLOOM = 1 << 22
+LEADERS = 8
 _ONE = np.uint64(1)
 
 
@@ -169,30 +171,36 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
 
 
 def may_link(n1: int, p1: int, n2: int, p2: int, percent: int) -> bool:
-    """Length and positional filters, n1 <= n2."""
-    if 100 * n1 < percent * n2:
+    """Length and positional filters, for a pair whose first common token stands at p1 and p2.
+
+    At a later common token they may say no; the first one's block speaks for the pair.
+    """
+    if 100 * min(n1, n2) < percent * max(n1, n2):
         return False
     least = -(-percent * (n1 + n2) // (100 + percent))
-    return min(p1, p2) + 1 + min(n1 - p1 - 1, n2 - p2 - 1) >= least
+    return 1 + min(n1 - p1 - 1, n2 - p2 - 1) >= least
 
 
 def met_pairs(blocks: DataFrame, percent: int, star: bool) -> DataFrame:
-    """(a, b, n) pairs that meet in `token, node, n, pos, comp` blocks and lie in different components.
+    """(a, b, c) pairs that meet in `token, node, n, pos, comp` blocks and lie in different components; c: how often.
 
-    star: only with the block's smallest node that the length filter lets link, one pair a node at most.
+    star: only with the block's leaders. The first is the node in which the token stands first: the one
+    with the fewest tokens of its own, as the original of a group of near copies is. A node that no leader
+    may link with becomes one, up to LEADERS.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, block, pairs = None, [], set()
+        token, block, pairs = None, [], Counter()
 
-        def met() -> Iterator[tuple[int, int, int]]:
+        def met() -> Iterator[tuple[int, int]]:
             if star:
-                lead = None
-                for row in block:
-                    if lead is not None and row[3] != lead[3] and may_link(lead[1], lead[2], row[1], row[2], percent):
-                        yield (lead[0], row[0], lead[1])
-                    elif lead is None or 100 * lead[1] < percent * row[1]:
-                        lead = row
+                leads: list = []
+                for row in sorted(block, key=lambda x: (x[2], x[1], x[0])):
+                    lead = next((x for x in leads if x[3] != row[3] and may_link(x[1], x[2], row[1], row[2], percent)), None)
+                    if lead is not None:
+                        yield lead[0], row[0]
+                    elif len(leads) < LEADERS:
+                        leads.append(row)
                 return
             first = 0
             for i, row in enumerate(block):
@@ -200,12 +208,12 @@ def met_pairs(blocks: DataFrame, percent: int, star: bool) -> DataFrame:
                     first += 1
                 for other in block[first:i]:
                     if other[3] != row[3] and may_link(other[1], other[2], row[1], row[2], percent):
-                        yield (other[0], row[0], other[1])
+                        yield min(other[0], row[0]), max(other[0], row[0])
 
         def out() -> pa.RecordBatch:
-            rows = list(pairs)
+            rows = [(*k, c) for k, c in pairs.items()]
             pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "c"])
 
         for batch in batches:
             for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -216,13 +224,13 @@ def met_pairs(blocks: DataFrame, percent: int, star: bool) -> DataFrame:
                         yield out()
                 block.append(row)
         for pair in met():
-            pairs.add(pair)
+            pairs[pair] += 1
             if len(pairs) > 200_000:
                 yield out()
         yield out()
 
     dealt = blocks.select("token", "node", "n", "pos", "comp").repartition("token").sortWithinPartitions("token", "n", "node")
-    return dealt.mapInArrow(run, "a long, b long, n long")
+    return dealt.mapInArrow(run, "a long, b long, c long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -325,8 +333,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         ws.free()
         return out
 
-    near = met_pairs(labelled(blocks, None), percent, star=True).groupBy("b").agg(F.min(F.struct("n", "a")).alias("m"))
-    tried = ws.table(near.select(F.col("m.a").alias("a"), "b"), "star")
+    met = met_pairs(labelled(blocks, None), percent, star=True).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    near = met.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m"))
+    tried = ws.table(near.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct(), "star")
     edges = links(tried)
     labels = components(ws, edges)
     rest = met_pairs(labelled(blocks, labels), percent, star=False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
