@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +46,10 @@ class Workspace:
 
     def free(self) -> None:
         """Let Spark's cleaner delete the shuffle files of finished jobs."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first round lets go of what the second one finds unused
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
 
 SLICE = 4096
@@ -97,6 +99,3 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def held_out() -> "F.Column":
     """True for the fold from which no label is learned: crc32 of the id's text, modulo 5."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 5 == 0
-
-
-__all__ = ["Workspace", "documents", "held_out", "merged_array", "pd", "shared_dir"]

@@ -29,7 +29,7 @@ from spanloom.llm import anchors, textbuf
 from spanloom.llm.shared import Workspace, documents
 
 LAST = (1 << 63) - 1
-LENGTH, Q = 50, 16
+LENGTH, Q = 50, 24
 SCHEMA = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 _BATCH = 1_500_000
 
@@ -121,66 +121,107 @@ def run_strings(sums: np.ndarray, first: np.ndarray, last: np.ndarray, length: i
     return start, textbuf.ranges_hash(sums, start, start + length)
 
 
+def of_text(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Keys that are equal only for equal keys of one text of the batch."""
+    return keys ^ textbuf.mix(text.astype(np.uint64) + np.uint64(1))
+
+
+def listed(column: pa.Array, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists of rows first to last, and the row (from 0) of each."""
+    part = column.slice(first, last - first)
+    part = pa.array([None] * len(part), part.type) if len(part) == part.null_count else part
+    size = np.asarray(part.value_lengths().fill_null(0))
+    return np.asarray(part.drop_null().flatten()).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(part)), size)
+
+
 def single_strings(joined: DataFrame, length: int, q: int) -> DataFrame:
-    """(bucket, context, doc) of the single strings of the runs that (doc, text, keys) rows name."""
+    """Distinct (key, doc) of the single strings of the runs that (doc, text, keys) rows name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
             data, off = textbuf.buffer(batch.column(1))
-            for i, (doc, keys) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
-                wanted = np.asarray(keys.values).view(np.uint64)
-                for _, part, at, _ in anchors.pieces(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), length):
-                    _, first, last, _, c, sums = anchors.runs(part, at, length, q)
-                    own = np.isin(c, wanted)
-                    x = np.unique(run_strings(sums, first[own], last[own], length)[1])
-                    yield pa.RecordBatch.from_arrays([signed(x), signed(x), pa.array(np.full(len(x), doc, np.int64))], ["bucket", "context", "doc"])
-
-    return joined.mapInArrow(run, "bucket long, context long, doc long")
-
-
-def removed(data: np.ndarray, runs_gone: np.ndarray, strings_gone: np.ndarray, length: int, q: int) -> np.ndarray:
-    """Mask of the bytes of one text that the decided runs and strings cover."""
-    edge = np.zeros(len(data) + 1, np.int64)
-    for _, part, at, shift in anchors.pieces(data, np.array([0, len(data)]), length):
-        _, first, last, _, c, sums = anchors.runs(part, at, length, q)
-        gone = np.isin(c, runs_gone)
-        np.add.at(edge, first[gone] + shift, 1)
-        np.add.at(edge, last[gone] + length + shift, -1)
-        if len(strings_gone) and not gone.all():
-            start, h = run_strings(sums, first[~gone], last[~gone], length)
-            start = start[np.isin(h, strings_gone)] + shift
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+            for i, part, at, _ in anchors.pieces(data, off, length):
+                wanted, row = listed(batch.column(2), i, i + len(at) - 1)
+                text, first, last, _, c, sums = anchors.runs(part, at, length, q)
+                own = np.isin(of_text(c, text), of_text(wanted, row))
+                key = run_strings(sums, first[own], last[own], length)[1]
+                doc = np.repeat(docs[text[own] + i], (last - first + 1)[own])
+                order = np.lexsort((doc, key))
+                key, doc = key[order], doc[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([signed(key[new]), signed(doc[new])], ["key", "doc"])
+
+    return joined.mapInArrow(run, "key long, doc long")
+
+
+def later(rows: DataFrame) -> DataFrame:
+    """(doc, key) of the rows that are not of their key's first document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 2  # the last key's first row
+        for batch in batches:
+            k, d = (np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns))
+            if not len(k):
+                continue
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            late = d > d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(d[late]), pa.array(k[late])], ["doc", "key"])
+            end = np.flatnonzero(new)[-1:]
+            held = [k[end], d[end]]
+
+    return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, key long")
 
 
 def render(length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        names = [x.split()[0] for x in ("doc_id", "n_bytes", "spans", "kept")]
-        none = np.zeros(0, np.uint64)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 rows = batch.slice(k, 500)
                 data, off = textbuf.buffer(rows.column(1))
-                spans, kept = [], []
-                for i, (runs_gone, strings_gone) in enumerate(zip(rows.column(2), rows.column(3))):
-                    own = data[off[i] : off[i + 1]]
-                    a, b = (np.asarray(x.values).view(np.uint64) if x.is_valid else none for x in (runs_gone, strings_gone))
-                    if not len(a) and not len(b):
-                        spans.append([])
-                        kept.append(own.tobytes())
-                        continue
-                    mask = removed(own, a, b, length, q)
-                    turn = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                    spans.append([{"start": int(s), "end": int(e)} for s, e in turn.reshape(-1, 2)])
-                    kept.append(own[~mask].tobytes())
+                mask = removed(data, off, rows.column(2), rows.column(3), length, q)
+                edge = np.zeros(len(data) + 1, bool)
+                edge[off] = True
+                before, after = np.ones(len(mask), bool), np.ones(len(mask), bool)
+                before[1:], after[:-1] = ~mask[:-1], ~mask[1:]
+                start, end = np.flatnonzero(mask & (before | edge[:-1])), np.flatnonzero(mask & (after | edge[1:])) + 1
+                of = np.searchsorted(off, start, "right") - 1
+                spans: list[list[dict]] = [[] for _ in range(len(off) - 1)]
+                for t, a, b in zip(of.tolist(), start.tolist(), end.tolist()):
+                    spans[t].append({"start": a - int(off[t]), "end": b - int(off[t])})
+                kept = [data[a:b][~mask[a:b]].tobytes() for a, b in zip(off[:-1], off[1:])]
                 ids = [None if x == LAST else x for x in rows.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
 
+def removed(data: np.ndarray, off: np.ndarray, runs_gone: pa.Array, strings_gone: pa.Array, length: int, q: int) -> np.ndarray:
+    """Mask of the bytes that the decided runs and strings of their own text cover."""
+    cover = np.zeros(len(data) + 1, np.int64)
+    some = np.asarray(runs_gone.is_valid()) | np.asarray(strings_gone.is_valid())
+    for i, part, at, shift in anchors.pieces(data, off, length):
+        n = len(at) - 1
+        if not some[i : i + n].any():
+            continue
+        base = off[i] + shift
+        (a, row_a), (b, row_b) = listed(runs_gone, i, i + n), listed(strings_gone, i, i + n)
+        text, first, last, _, c, sums = anchors.runs(part, at, length, q)
+        gone = np.isin(of_text(c, text), of_text(a, row_a))
+        np.add.at(cover, first[gone] + base, 1)
+        np.add.at(cover, last[gone] + length + base, -1)
+        if len(b):
+            ask = ~gone & np.isin(text, row_b)
+            start, h = run_strings(sums, first[ask], last[ask], length)
+            own = np.isin(of_text(h, np.repeat(text[ask], (last - first + 1)[ask])), of_text(b, row_b))
+            np.add.at(cover, start[own] + base, 1)
+            np.add.at(cover, start[own] + length + base, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def dedupe(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """Per row: doc_id, n_bytes, the removed byte spans (start, end) and the kept bytes.
 
@@ -193,11 +234,12 @@ def dedupe(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     texts = ranked(docs)
     wanted = split.where("kind = 1").groupBy("doc").agg(F.collect_set("key").alias("keys"))
     joined = texts.join(wanted, "doc").select("doc", "text", "keys")
-    strings = ws.table(refined(single_strings(joined, length, q)).where("kind = 0").select("doc", "key"), "strings")
+    strings = ws.table(later(single_strings(joined, length, q)), "strings")
     ws.free()
     whole = split.where("kind = 0").select("doc", "key").unionByName(first_rows(docs, length, q, decided=True))
     gone = whole.select("doc", F.col("key").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(strings.select("doc", F.lit(None).cast("long").alias("a"), F.col("key").alias("b")))
     gone = gone.groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    gone = gone.select("doc", F.when(F.size("a") > 0, F.col("a")).alias("a"), F.when(F.size("b") > 0, F.col("b")).alias("b"))
     return texts.join(gone, "doc", "left").select("doc", "text", "a", "b").mapInArrow(render(length, q), SCHEMA)
 
 
