@@ -464,13 +464,20 @@ def signal_set_labels(spark):
     return _signal.set_labels(_profile(spark)[1])
 
 
-def genome(spark: SparkSession) -> DataFrame:
-    raw = spark.table("documents").where("text is not null and doc_id is not null").select(F.expr("concat('chr', doc_id, ' x\n', replace(substr(text, 1, 4000), '\n', ' '))").alias("value"), F.col("doc_id").alias("ord"))
+def genome(spark: SparkSession, column: str = "text") -> DataFrame:
+    """Whole texts as sequences, one a document."""
+    raw = spark.table("documents").where("text is not null and doc_id is not null").select(F.expr(f"concat('chr', doc_id, ' x\n', replace({column}, '\n', ' '))").alias("value"), F.col("doc_id").alias("ord"))
     return text.parse_records(raw.withColumn("value", F.replace("value", F.lit(">"), F.lit("N"))))
 
 
 @query("select concat('chr', doc_id) as name, trim(replace(replace(substr(text, 1, 4000), chr(10), ' '), '>', 'N'), ' ') as seq from documents where trim(replace(text, chr(10), ' '), ' ') <> ''")
 def fasta_parse(spark):
+    # its SQL asks for the first 4000 characters; fasta_whole has the whole texts
+    return genome(spark, "substr(text, 1, 4000)").select("name", "seq")
+
+
+@query("select concat('chr', doc_id) as name, trim(replace(replace(text, chr(10), ' '), '>', 'N'), ' ') as seq from documents where trim(replace(text, chr(10), ' '), ' ') <> ''")
+def fasta_whole(spark):
     return genome(spark).select("name", "seq")
 
 
@@ -502,6 +509,26 @@ def motif_scan(spark):
     return widths.join(hits, "motif", "left").select("motif", (F.coalesce("n", F.lit(0)) / F.col("width")).alias("score"))
 
 
+def _whole_sequences(spark: SparkSession) -> DataFrame:
+    """Sequences of loci that span whole texts, cut from their tiles."""
+    g = genome(spark)
+    own = Loci(g.selectExpr("name as chrom", "0L as start", "cast(length(seq) as bigint) as end", "'+' as strand", "ord"))
+    return _motifs.cut_sequences(own, _motifs.tiles(g), None)
+
+
+@query("""select doc_id as ord, trim(replace(replace(text, chr(10), ' '), '>', 'N'), ' ') as sequence from documents
+where trim(replace(text, chr(10), ' '), ' ') <> ''""")
+def locus_sequence_whole(spark):
+    return _whole_sequences(spark).select("ord", "sequence")
+
+
+@query()
+def motif_scan_whole(spark):
+    hits = _motifs.scan(_whole_sequences(spark), MOTIF, threshold=4.0).groupBy("motif").agg(F.sum("n").alias("n"))
+    widths = spark.createDataFrame([(n, len(c)) for n, c in MOTIF], "motif string, width int")
+    return widths.join(hits, "motif", "left").select("motif", (F.coalesce("n", F.lit(0)) / F.col("width")).alias("score"))
+
+
 @query("select loop_id, chrom1, s1, e1, chrom2, s2, e2 from loops_v", "loops_v")
 def bedpe_parse(spark):
     lines = spark.table("loops_v").selectExpr("concat_ws(' ', chrom1, s1, e1, chrom2, s2, e2, 'x') as value", "loop_id as ord")
