@@ -57,8 +57,8 @@ def scan_text(text: str | None, least_bits: float = 3.0) -> list[tuple[int, int,
         out += [(0, *m.span(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         out += [(1, *m.span(), m[0]) for m in _ACCESS.finditer(text)]
-    if _ANY.search(text):
-        out += [(2, *m.span(), m[0]) for m in _HEX.finditer(text)]
+    out += [(2, *m.span(), m[0]) for m in _HEX.finditer(text)]
+    if _ANY.search(text):  # candidates have four digits
         out += [(3, *m.span(), m[0]) for m in _BARE.finditer(text) if candidate(m[0], least_bits)]
     return sorted(out, key=lambda x: (x[1], x[0]))
 

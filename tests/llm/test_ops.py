@@ -146,6 +146,13 @@ def test_base_patterns(text):
     assert [(secrets.KINDS[k], a, b) for k, a, b, _ in secrets.scan_text(text) if k < 3] == base_secrets(text)
 
 
+def test_hex_without_digits(make):
+    rows = [(1, "key deadbeefcafebabe end"), (2, "a" * 16), (3, "a" * 15)]
+    got = {r["doc_id"]: [(secrets.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(make(rows)).collect()}
+    assert got == {1: [("hex", 4, 20)], 2: [("hex", 0, 16)], 3: []}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(make(rows), "[x]").collect()} == {1: "key [x] end", 2: "[x]", 3: "a" * 15}
+
+
 def test_redaction(make):
     out = {(r["doc_id"], r["text"]): r["n_chars"] for r in secrets.redact(make(SECRETS), "[x]").collect()}
     assert 'x [x]" [x] [x]' in {t for i, t in out if i == 1}
