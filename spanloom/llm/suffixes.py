@@ -7,8 +7,8 @@ the contexts that reach to the later offsets; an identifier stands for all strin
 its run, so a text whose identifier an earlier document has too is done. Buckets of a
 single identifier are done as well. What is left, the first text of each identifier in
 a mixed bucket, is refined once more by the same rule, on the identifiers of its single
-strings. A bucket never leaves the sort: hot ones stream through it, and each task
-first drops what an earlier document of its own already decides.
+strings. A bucket never leaves the sort: hot ones stream through it, and what an earlier
+document of its own task already decides goes around it.
 
 Defined cases: null text is empty; documents are ranked by doc_id, a null id after all
 others and not compared with other null ids; rows of one id are not compared with each
@@ -42,9 +42,9 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def first_rows(docs: DataFrame, length: int, q: int, decided: bool) -> DataFrame:
-    """(bucket, context, doc) of all runs, once for each document that is a task chunk's first with it;
-    with `decided`, the (doc, key) of the others instead: a document of their chunk comes before them."""
+def judged_rows(docs: DataFrame, length: int, q: int) -> DataFrame:
+    """(bucket, context, doc, late) of all runs, once a document and task chunk. late: a document of the chunk comes
+    before; such a row is decided and needs no bucket, so it gets one of its own that spreads hot contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -57,12 +57,13 @@ def first_rows(docs: DataFrame, length: int, q: int, decided: bool) -> DataFrame
             h, c, d = h[order], c[order], d[order]
             new = np.ones(len(c), bool)
             new[1:] = c[1:] != c[:-1]
-            if not decided:
-                return pa.RecordBatch.from_arrays([signed(h[new]), signed(c[new]), signed(d[new])], ["bucket", "context", "doc"])
             first = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
             late = d > first
-            late[1:] &= (c[1:] != c[:-1]) | (d[1:] != d[:-1])
-            return pa.RecordBatch.from_arrays([signed(d[late]), signed(c[late])], ["doc", "key"])
+            own = new | late
+            own[1:] &= (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+            h, c, d, late = h[own], c[own], d[own], late[own]
+            bucket = np.where(late, textbuf.mix(c ^ d.astype(np.int64).view(np.uint64)), h)
+            return pa.RecordBatch.from_arrays([signed(bucket), signed(c), signed(d), pa.array(late)], ["bucket", "context", "doc", "late"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -77,19 +78,22 @@ def first_rows(docs: DataFrame, length: int, q: int, decided: bool) -> DataFrame
         if held:
             yield out()
 
-    return ranked(docs).mapInArrow(run, "doc long, key long" if decided else "bucket long, context long, doc long")
+    return ranked(docs).mapInArrow(run, "bucket long, context long, doc long, late boolean")
 
 
 def refined(rows: DataFrame) -> DataFrame:
-    """(doc, key, kind) from sorted (bucket, context, doc): kind 0, an earlier document has the context;
-    kind 1, the first with its context in a bucket of several contexts."""
+    """(doc, key, kind) from (bucket, context, doc, late): kind 0, an earlier document has the context;
+    kind 1, the first with its context in a bucket of several contexts. Late rows come last and pass as kind 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last context's first row
         mixed = False  # whether the held row's bucket had a context before it
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            decided = batch.filter(batch.column(3))
+            if decided.num_rows:
+                yield pa.RecordBatch.from_arrays([decided.column(2), decided.column(1), pa.array(np.zeros(decided.num_rows, np.int32))], ["doc", "key", "kind"])
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.slice(0, batch.num_rows - decided.num_rows).columns[:3]]
             if not len(cols[0]):
                 continue
             if held is not None:
@@ -111,7 +115,7 @@ def refined(rows: DataFrame) -> DataFrame:
         if held is not None and mixed:
             yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[1]), pa.array([1], pa.int32())], ["doc", "key", "kind"])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "context", "doc").mapInArrow(run, "doc long, key long, kind int")
+    return rows.repartition("bucket").sortWithinPartitions("late", "bucket", "context", "doc").mapInArrow(run, "doc long, key long, kind int")
 
 
 def run_strings(sums: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,17 +230,18 @@ def dedupe(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """Per row: doc_id, n_bytes, the removed byte spans (start, end) and the kept bytes.
 
     Phases are cut by written tables of decisions, which are small; the shuffle files of one
-    phase are freed before the next one shuffles the texts again.
+    phase are freed before the next one shuffles the texts again. All decisions of the first
+    scan are written, so later scans may cut the table into other tasks.
     """
     ws = Workspace(docs.sparkSession)
-    split = ws.table(refined(first_rows(docs, length, q, decided=False)), "refined")
+    split = ws.table(refined(judged_rows(docs, length, q)), "refined")
     ws.free()
     texts = ranked(docs)
     wanted = split.where("kind = 1").groupBy("doc").agg(F.collect_set("key").alias("keys"))
     joined = texts.join(wanted, "doc").select("doc", "text", "keys")
     strings = ws.table(later(single_strings(joined, length, q)), "strings")
     ws.free()
-    whole = split.where("kind = 0").select("doc", "key").unionByName(first_rows(docs, length, q, decided=True))
+    whole = split.where("kind = 0").select("doc", "key")
     gone = whole.select("doc", F.col("key").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(strings.select("doc", F.lit(None).cast("long").alias("a"), F.col("key").alias("b")))
     gone = gone.groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     gone = gone.select("doc", F.when(F.size("a") > 0, F.col("a")).alias("a"), F.when(F.size("b") > 0, F.col("b")).alias("b"))

@@ -109,6 +109,22 @@ def test_substring_edges(make):
     assert suffixes.dedupe(make([])).count() == 0
 
 
+def test_substrings_where_later_scans_split_otherwise(spark, make, corpus, tmp_path):
+    make(corpus).repartition(6).write.parquet(str(tmp_path / "t"))
+    conf = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.maxPartitionBytes": "128m", "spark.sql.files.openCostInBytes": "0"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = suffixes.dedupe(spark.read.parquet(str(tmp_path / "t")))  # the first scan runs here
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        rows = out.collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    got = {r["doc_id"]: (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in rows}
+    assert got == substring_dedup(corpus)
+
+
 def test_long_text_in_pieces(monkeypatch):
     from spanloom.llm import anchors
 
