@@ -54,19 +54,19 @@ def automaton(patterns: list[tuple[bytes, tuple[int, ...]]]):
 
 
 def shards(benchmark: DataFrame, width: int, max_windows: int) -> Iterator[tuple[list[str], list]]:
-    """Item names and windows of at most `max_windows` windows at a time, streamed to the driver."""
-    names: list[str] = []
+    """Distinct item names and windows of at most `max_windows` windows at a time, streamed to the driver."""
+    names: dict[str, int] = {}
     found: dict[bytes, dict[int, None]] = {}
     for item_id, text in benchmark.toLocalIterator():
         own = windows(text, width)
         if own and found and len(found) + len(own) > max_windows:
-            yield names, [(k, tuple(v)) for k, v in found.items()]
-            names, found = [], {}
+            yield list(names), [(k, tuple(v)) for k, v in found.items()]
+            names, found = {}, {}
         if own:
-            names.append("" if item_id is None else str(item_id))
+            item = names.setdefault("" if item_id is None else str(item_id), len(names))
             for x in own:
-                found.setdefault(x, {})[len(names) - 1] = None
-    yield names, [(k, tuple(v)) for k, v in found.items()]
+                found.setdefault(x, {})[item] = None
+    yield list(names), [(k, tuple(v)) for k, v in found.items()]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_windows: int = 200_000) -> DataFrame:
@@ -115,13 +115,18 @@ def scan_text(auto, text: str | None) -> tuple[int, list[tuple[int, int]], list[
 def filter_documents(docs: DataFrame, benchmark: DataFrame, least_items: int, width: int = 8, max_windows: int = 200_000) -> DataFrame:
     """The rows of docs in which windows of fewer than least_items items occur, with all their columns.
 
-    A benchmark of one shard is judged in the scan itself, a larger one by a join on doc_id.
+    A benchmark of one shard is judged in the scan itself, a larger one by a join on the text's digest.
     """
     parts = shards(benchmark.select("item_id", "text"), width, max_windows)
     names, patterns = next(parts)
     if next(parts, None) is not None:
-        found = matches(docs, benchmark, width, max_windows).where(F.size("items") >= least_items)
-        return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+        hits = None
+        for shard in shards(benchmark.select("item_id", "text"), width, max_windows):
+            part = docs.select("text").mapInArrow(hit_items(docs.sparkSession.sparkContext.broadcast(shard)), "__digest binary, item string")
+            hits = part if hits is None else hits.unionByName(part)
+        gone = hits.distinct().groupBy("__digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_items)
+        own = docs.withColumn("__digest", F.unhex(F.sha2("text", 256)))
+        return own.join(gone.select("__digest"), "__digest", "left_anti").select(*docs.columns)
     shared, at = docs.sparkSession.sparkContext.broadcast(patterns), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +138,24 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, least_items: int, wi
     return docs.mapInArrow(run, docs.schema)
 
 
+def hit_items(shared):
+    """(digest, item) of each text's hits: texts are judged alike wherever they are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, patterns = shared.value
+        auto = built(patterns) if patterns else None
+        for batch in batches:
+            digests, items = [], []
+            for text in batch.column(0).to_pylist():
+                hit = scan_text(auto, text)[2]
+                if hit:
+                    digests += [hashlib.sha256(text.encode()).digest()] * len(hit)
+                    items += [names[i] for i in hit]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(items, pa.string())], ["__digest", "item"])
+
+    return run
+
+
 def scanner(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, patterns = shared.value

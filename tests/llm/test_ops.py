@@ -94,6 +94,17 @@ def test_decontamination(make, spark, corpus):
     assert decontaminate.matches(make([]), bench).count() == 0
 
 
+def test_items_and_rows_are_judged_alike_in_shards(make, spark):
+    one, two, three = ("".join(f"{x}{i} " for i in range(8)) for x in "abc")
+    bench = spark.createDataFrame([(1, one), (1, two), (2, three)], "item_id long, text string")
+    rows = [(1, one + two), (1, one + three), (None, two + three), (None, "clean"), (2, None)]
+    for most in (200_000, 1):
+        found = {(r["doc_id"], r["n_words"]): r["items"] for r in decontaminate.matches(make(rows[:1]), bench, max_windows=most).collect()}
+        assert found == {(1, 16): ["1"]}
+        kept = decontaminate.filter_documents(make(rows), bench, 2, max_windows=most).collect()
+        assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept) == [(-1, "clean"), (1, one + two), (2, "")]
+
+
 # 4
 def test_substrings_against_brute_force(make, corpus):
     out = suffixes.dedupe(make(corpus)).collect()
