@@ -1,8 +1,8 @@
 """A training-data pipeline over `documents`: STAGES in order, each on all that the one before kept.
 
 toxicity: documents that the chain scores 0.5 or more go. near_duplicates: of each group
-linked by the n-gram Jaccard join the document of the smallest id stays (of rows with that
-id, the smallest text). benchmark: documents with windows of two benchmark items or more
+linked by the n-gram Jaccard join the document of the smallest id stays (of its rows with
+that id, the smallest text). benchmark: documents with windows of two benchmark items or more
 go. secrets: spans of live-looking values are replaced by a mark. packing: what is left
 becomes token sequences.
 
@@ -35,13 +35,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group: that of component_id. Rows without an id stay, and so do rows without words."""
     rows = jaccard.jaccard_groups(docs)
     gone = rows.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    again = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
-        return left.select(*COLUMNS)
-    # an id that names several rows with words keeps the first of them
-    first = left.join(again, "doc_id").withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source"))).where("k = 1")
-    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(first.select(*COLUMNS))
+        return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.select(*COLUMNS).join(gone.union(again), "doc_id", "left_anti")
+    # rows of an id that names several are judged each by its own group, of which the first stays
+    nodes = rows.where("node is not null").select("node", "comp", "component_id").distinct()
+    own = jaccard.with_nodes(docs.select(*COLUMNS).join(again, "doc_id", "left_semi")).join(nodes, "node", "left")
+    first = own.where("component_id = doc_id").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "comp").orderBy("text", "source"))).where("k = 1")
+    return left.select(*COLUMNS).unionByName(own.where("node is null").select(*COLUMNS)).unionByName(first.select(*COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

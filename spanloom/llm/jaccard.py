@@ -94,6 +94,18 @@ def summarise(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, parity binary, slice int, part binary")
 
 
+def with_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs with the node of each row's text, null without words."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [node_of(x) if len(x) else None for x in sets_of(batch.column(at), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, "node"])
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", node long")
+
+
 def merged_counts(parts: DataFrame) -> np.ndarray:
     def fill(batches: Iterator[pa.RecordBatch], into: np.ndarray) -> None:
         for batch in batches:
@@ -316,7 +328,7 @@ def labelled(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """Per row: doc_id, n_shingles, node, component_id (the smallest doc_id reachable by links)."""
+    """Per row: doc_id, n_shingles, node, comp (the smallest node reachable), component_id (the smallest doc_id)."""
     ws = Workspace(docs.sparkSession)
     summary = ws.table(summarise(docs, k), "summary")
     counts = merged_counts(summary.where("part is not null").select("slice", "part"))
@@ -346,9 +358,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left")
     own = own.select("node", "first", F.coalesce("comp", "node").alias("comp"))
     least = own.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = own.join(least, "comp").select("node", "component_id")
+    named = own.join(least, "comp").select("node", "comp", "component_id")
     out = rows.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,15 @@ def test_stages_on_an_empty_table_and_nulls(spark, tmp_path):
         assert own.count() == table.count()
 
 
+def test_near_duplicates_are_judged_by_row(spark, make):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = make([(1, a), (5, a + " more"), (5, b), (5, c), (5, c), (5, None), (7, b), (None, a)])
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got) == sorted([(1, a), (5, b), (5, c), (5, ""), (-1, a)])
+
+
 def test_sql(spark):
     from spanloom.llm import queries
 
