@@ -3,8 +3,10 @@
 Each task tokenises its own rows, routes whole windows and remainders to tiers of
 power-of-two context sizes, packs the tiers from the longest down, fills the gaps of
 long windows from shorter tiers, and balances the finished sequences over step
-groups of equal token counts. Nothing is shuffled: a sequence holds documents of one
-task, and what a task has left at its end is written as full power-of-two sequences.
+groups: each round's groups get the same number of tokens and the same mix of lengths,
+up to one sequence. Nothing is shuffled: a sequence holds documents of one task, and
+what a task has left at its end is written as full power-of-two sequences, shorter than
+the shortest tier where it must be (`tier` says the length).
 
 Defined cases: null or empty text is the end token alone; a null id stays null;
 repeated rows are packed as often as they occur; an empty table gives no pieces;
@@ -16,6 +18,7 @@ from __future__ import annotations
 import os
 from collections import deque
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -110,11 +113,26 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
+def balanced(lengths: list[int], group_tokens: int) -> list[int]:
+    """The group of each sequence, for lengths that are powers of two in falling order.
+
+    Each goes to the group of the fewest tokens so far, so groups differ by at most the shortest
+    sequence they differ in, none has more than group_tokens, and each length is dealt out evenly.
+    """
+    groups = [(0, k) for k in range(max(1, -(-sum(lengths) // group_tokens)))]
+    out = []
+    for n in lengths:
+        tokens, k = heappop(groups)
+        out.append(k)
+        heappush(groups, (tokens + n, k))
+    return out
+
+
 class Packer:
     """Pieces are [document, start, ids]; every sequence that leaves is full."""
 
-    def __init__(self, tiers: tuple[int, ...], group_tokens: int):
-        self.tiers, self.group_tokens = sorted(tiers, reverse=True), group_tokens
+    def __init__(self, tiers: tuple[int, ...]):
+        self.tiers = sorted(tiers, reverse=True)
         self.pools: dict[int, deque] = {t: deque() for t in self.tiers}
         self.whole: list[list] = []
         self.held = 0
@@ -188,29 +206,30 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, group_
     """Packs `doc_id, text` rows; returns pieces with their token ids (`ids`: little-endian unsigned 32 bit).
 
     tokenizer: path of a tokenizers JSON file, on every node. tiers: context sizes, powers of two.
-    group_tokens: tokens of a step group. round_tokens: tokens held before sequences are written.
+    group_tokens: most tokens of a step group, a multiple of the longest tier. round_tokens: tokens held before sequences are written.
     """
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
+    if group_tokens % max(tiers):
+        raise ValueError("group_tokens must be a multiple of the longest tier")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, packer = coder(tokenizer), Packer(tiers, group_tokens)
+        code, packer = coder(tokenizer), Packer(tiers)
         task = TaskContext.get().partitionId() << 40
-        sequences = groups = room = 0
+        sequences = groups = 0
 
         def write(done: list) -> pa.RecordBatch:
-            nonlocal sequences, groups, room
+            nonlocal sequences, groups
             cols: list[list] = [[] for _ in range(9)]
-            for tier, pieces in done:
-                if room < tier:
-                    groups, room = groups + 1, group_tokens
-                room -= tier
+            own = balanced([tier for tier, _ in done], group_tokens)
+            for (tier, pieces), group in zip(done, own):
                 at = 0
                 for (doc_id, tokens), start, ids in pieces:
-                    for c, v in zip(cols, (doc_id, start, len(ids), tokens, task + sequences, at, tier, task + groups, ids.tobytes())):
+                    for c, v in zip(cols, (doc_id, start, len(ids), tokens, task + sequences, at, tier, task + groups + group, ids.tobytes())):
                         c.append(v)
                     at += len(ids)
                 sequences += 1
+            groups += max(own, default=-1) + 1
             kinds = (*[pa.int64()] * 6, pa.int32(), pa.int64(), pa.binary())
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
