@@ -87,19 +87,41 @@ def base_secrets(text):
     return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
 
 
-def line_dedup(rows, min_words=5):
-    """[(doc_id, n_units, removed spans)] of (doc_id, text) rows, in their order."""
+def line_dedup(rows, min_words=5, min_line_words=3):
+    """[(doc_id, n_units, removed spans, kept)] of (doc_id, text) rows, in their order."""
     norm = lambda u: re.sub(r"[ \t\n\x0b\f\r]+", " ", u.translate(UPPER)).strip(" ")
-    seen, units = set(), []
-    for r, (doc, text) in enumerate(rows):
-        at = 0
-        for k, u in enumerate([] if text is None else text.split("\n")):
-            units.append((doc is None, doc or 0, k, r, norm(u), at, at + len(u)))
-            at += len(u) + 1
-    gone = {}
-    for _, _, _, r, u, a, b in sorted(units):
-        if len(u.split(" ")) >= min_words and u:
-            if u in seen:
-                gone.setdefault(r, []).append((a, b))
-            seen.add(u)
-    return [(doc, 0 if text is None else text.count("\n") + 1, sorted(gone.get(r, []))) for r, (doc, text) in enumerate(rows)]
+    rank, cuts = [], {}
+    for doc, text in set(rows):
+        if text is None:
+            continue
+        key, at, units = hashlib.sha256(text.encode()).digest()[:8], 0, []
+        for number, line in enumerate(text.split("\n")):
+            pieces = [p for p in re.split(r"(?<=[.!?])(?<!^)(?=[ \t\r\f\v])|(?<=[。！？])", line)]
+            own = []
+            for p in pieces:  # white space after an end belongs to the sentence before it
+                space = re.match(r"[ \t\r\f\v]*", p).end() if own and re.search(r"[.!?]$", own[-1]) else 0
+                if space:
+                    own[-1] += p[:space]
+                own.append(p[space:])
+            own = [p for p in own if p] or [""]
+            for p in own:
+                units.append((number, p, at, at + len(p)))
+                words = norm(p).split(" ") if norm(p) else []
+                if len(words) >= (min_line_words if len(own) == 1 else min_words):
+                    signed = int.from_bytes(key, "big", signed=True)
+                    rank.append((doc is None, doc or 0, signed, len(units) - 1, norm(p), (doc, text)))
+                at += len(p)
+            at += 1
+        cuts[doc, text] = units
+    seen, gone = set(), {}
+    for _, _, _, n, u, row in sorted(rank, key=lambda r: r[:4]):
+        if u in seen:
+            gone.setdefault(row, set()).add(n)
+        seen.add(u)
+    out = []
+    for row in rows:
+        units, drop, lines = cuts.get(row, []), gone.get(row, set()), {}
+        for n, (number, p, _, _) in enumerate(units):
+            lines.setdefault(number, []).extend([] if n in drop else [p])
+        out.append((row[0], len(units), [units[n][2:] for n in sorted(drop)], "\n".join("".join(x) for x in lines.values() if x)))
+    return out

@@ -186,6 +186,39 @@ def test_redaction(make):
     assert all(n == len(t or "") for (_, t), n in out.items()) and (4, None) in out and len(out) == len(SECRETS)
 
 
+def test_secrets_count_repositories(spark):
+    value, common = "Zq81kLmN02xPqR77sTuV9", "Copy4Everyone12345678xyz"
+    rows = [(i, f"x {common} y") for i in range(1, 31)] + [(3 * i, f"z {value}") for i in range(1, 6)]
+    full = [(i, t, "en", "one source", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+    live = {r["doc_id"]: len(r["spans"]) for r in secrets.scan(docs.where(F.col("text").startswith("z"))).collect()}
+    assert live == {3 * i: 1 for i in range(1, 6)}  # one owner, five repositories
+    assert all(not r["spans"] for r in secrets.scan(docs.where(F.col("text").startswith("x"))).collect())  # one owner, thirty
+    assert all(r["spans"] for r in secrets.scan(docs.where(F.col("text").startswith("x")), max_repositories=30).collect())
+
+
+def test_redaction_with_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "key deadbeefcafebabe end", "r", "c"), (1, "key deadbeefcafebabe end", "r", "d"), (1, "other", "r", "e"), (None, "deadbeefcafebabe", None, "f"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row string").withColumn("_key", F.lit(1)).withColumn("found", F.lit(2)).withColumn("digest", F.lit("x"))
+    out = secrets.redact(docs, "[x]")
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "", r["__row"] or "") for r in out.collect())
+    assert got == [(-1, "", ""), (-1, "[x]", "f"), (1, "key [x] end", "c"), (1, "key [x] end", "d"), (1, "other", "e")]
+
+
+def test_secrets_query(spark, make, tmp_path):
+    rows = [(i, t) for i, (_, t) in enumerate(SECRETS)]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in secrets.op5_secrets(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        base = base_secrets(text)
+        counts = [sum(k == name for k, _, _ in base) for name in ("assign", "access", "hex")]
+        assert [out[i]["n_assign"], out[i]["n_access"], out[i]["n_hex"]] == counts
+        listed = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert out[i]["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [x for x in out[i]["spans"].split(",") if x and not x.startswith("owned")] == listed
+
+
 # 6 and 8
 def labelled(n, seed=3):
     rng = np.random.default_rng(seed)
@@ -301,12 +334,33 @@ def test_chunks_cover_all_bytes():
 # 7
 def test_lines(make, corpus):
     rows = corpus + [(100, "Alpha beta gamma delta epsilon\nshort line\nALPHA  beta gamma\tdelta epsilon "), (100, "alpha beta gamma delta epsilon"), (None, "alpha beta gamma delta epsilon")]
-    got = [(r["doc_id"], r["n_units"], [(s["start"], s["end"]) for s in r["spans"]]) for r in lines.dedupe_lines(make(rows)).collect()]
-    plain = lambda x: sorted((i is None, i or 0, n, s) for i, n, s in x)
+    rows += [(101, "One two three four five. Six!  \n\nAll rights reserved.\n"), (102, "Lead in. one two three four five. And  ALL rights reserved.\nall rights RESERVED.\nend"), (102, "Lead in. one two three four five. And  ALL rights reserved.\nall rights RESERVED.\nend")]
+    rows += [(103, "日本 の 文 で す。次 の 文 で す！"), (104, "前。日本 の 文 で す。"), (105, "\n"), (106, "... ... a. b? c! d e f g h"), (107, "x. d e f g h")]
+    got = [(r["doc_id"], r["n_units"], [(s["start"], s["end"]) for s in r["spans"]], r["kept"]) for r in lines.dedupe_lines(make(rows).repartition(3)).collect()]
+    plain = lambda x: sorted((i is None, i or 0, n, s, k) for i, n, s, k in x)
     assert plain(got) == plain(line_dedup(rows))
+    kept = {i: k for i, _, _, k in got}
+    assert kept[102] == "Lead in. And  ALL rights reserved.\nend" and kept[104] == "前。" and kept[107] == "x. "
     assert lines.dedupe_lines(make([])).count() == 0
 
 
+@given(st.text(alphabet=" \n.!?。ab\t", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_units_cover_the_text(text):
+    raw = text.encode()
+    own = list(lines.cut(raw))
+    covered = sorted(x for a, b, _ in own for x in range(a, b))
+    assert covered == [i for i in range(len(raw)) if raw[i] != 10] and len(own) >= text.count("\n") + 1
+    assert [whole for _, _, whole in own].count(True) <= text.count("\n") + 1
+
+
+def test_a_passage_inside_a_line_goes(make):
+    passage = "It was said that many words stood here. Then came quite a few others, all the same. So it ended at last."
+    rows = [(i, f"Own start {i} of a line {i * 7} {passage} own end {i * 13} of it") for i in range(40)]
+    got = {r["doc_id"]: r for r in lines.dedupe_lines(make(rows).repartition(5)).collect()}
+    assert not got[0]["spans"] and all(got[i]["spans"] and "Then came" not in got[i]["kept"] for i in range(1, 40))
+
+
 # 9
 def brute_fingerprint(hashes, w=8):
     if not hashes:
@@ -395,12 +449,67 @@ def test_packing(make, corpus):
         groups[p[0][3]] = groups.get(p[0][3], 0) + p[0][2]
     assert max(groups.values()) <= 1 << 16
     assert packing.pack(make([]), path).count() == 0
+    assert {r["doc_id"] for r in out if r["doc_id"] is None} == {None} and sum(r["doc_tokens"] for r in out if r["doc_id"] is None and r["start"] == 0) > 1
+
+
+@given(st.lists(st.sampled_from([2048, 1024, 512, 256, 64, 1]), max_size=200))
+@settings(max_examples=100, deadline=None)
+def test_groups_are_balanced(lengths):
+    lengths = sorted(lengths, reverse=True)
+    own = packing.balanced(lengths, 4096)
+    total, of = {}, {}
+    for n, k in zip(lengths, own):
+        total[k] = total.get(k, 0) + n
+        of.setdefault(n, {}).setdefault(k, 0)
+        of[n][k] += 1
+    groups = max(1, -(-sum(lengths) // 4096))
+    assert set(own) <= set(range(groups)) and all(t <= 4096 for t in total.values())
+    if lengths:
+        loads = [total.get(k, 0) for k in range(groups)]
+        assert max(loads) - min(loads) <= lengths[0]
+
+
+def test_tokeniser_cache_is_bounded():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9FFF, 3000)) for _ in range(20)]  # no spaces: one unit each
+    texts += [" ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(4000)) for _ in range(3)] + ["  lead", "\n x", "<|endoftext|> a <|endoftext|>"]
+    coder = packing.Coder(packing.default_tokenizer())
+    size = lambda: coder.keys.nbytes + coder.sizes.nbytes + coder.ids.nbytes
+    before = size()
+    for _ in range(2):  # the second time from the cache
+        got = coder.encode(*textbuf.buffer(pa.array(texts)))
+        assert [x.tolist() for x in got] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert size() == before <= 32 << 20
+    assert not hasattr(coder, "known")
+
 
+def test_packing_query(spark, make, corpus, tmp_path):
+    import zlib
 
-@given(st.text(alphabet=st.sampled_from("ab Éé日\n\t  '\u3000\x7f1!s🙂×"), max_size=40))
-@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.too_slow])
-def test_units_give_the_text_s_ids(text):
+    from tokenizers import Tokenizer
+
+    make(corpus).write.parquet(str(tmp_path / "documents.parquet"))
+    out = packing.op10_packing(spark, str(tmp_path)).collect()
+    coder = Tokenizer.from_file(packing.default_tokenizer())
+    ids = {i: np.array(coder.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in corpus}
+    at = {}
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["start"])):
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["start"] == at.get(r["doc_id"], 0)
+        at[r["doc_id"]] = r["start"] + r["length"]
+        assert r["ids_crc32"] == zlib.crc32(own[r["start"] : at[r["doc_id"]]].tobytes())
+    assert at == {i: len(x) for i, x in ids.items()}
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("ab Éé日\n\t  '\u3000\x7f1!s,.?🙂×"), max_size=40), min_size=1, max_size=5))
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+def test_units_give_the_texts_ids(texts):
     import pyarrow as pa
 
     coder = packing.coder(packing.default_tokenizer())
-    assert coder.encode(*textbuf.buffer(pa.array([text])))[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    coder.sizes[:] = 0  # nothing known
+    for _ in range(2):
+        got = coder.encode(*textbuf.buffer(pa.array(texts)))
+        assert [x.tolist() for x in got] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
