@@ -33,41 +33,53 @@ END = 1
 TIERS = (2048, 1024, 512, 256)
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
 _coders: dict[str, "Coder"] = {}
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b",.;:!?)")] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 class Coder:
-    """Token ids by way of a bounded cache of units.
-
-    A unit starts at a space between two non-space characters (or at the text's start).
-    The byte-level pattern never matches across that point, so a text's ids are its
-    units' ids in order, and each distinct unit is tokenised once.
+    """Token ids by way of a direct-mapped cache of units, of fixed size.
+
+    A unit starts at a space between two non-space characters, at a mark right after an ASCII
+    letter, or at the text's start. The byte-level pattern never matches across those points,
+    so a text's ids are its units' ids in order. A slot holds one unit's key and at most WIDTH ids; longer units
+    are tokenised wherever they stand and never kept, so the cache has SLOTS * 33 bytes
+    whatever the texts. New units are tokenised as one text, and their ids dealt to them
+    by the bytes of each token.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    SLOTS, WIDTH = 1 << 19, 6
+    #: Bytes handed to the tokeniser at once: its own record of a token is large.
+    SLAB = 1 << 17
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.lengths = np.zeros(1024, np.int64)
-        self.starts = np.zeros(1024, np.int64)
-        self.ids = np.zeros(8192, np.uint32)
-        self.used = 0
-
-    def learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, code in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids, k = code.ids, len(self.known)
-            if k >= len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.lengths[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[key] = k
+        self.tokenizer = Tokenizer.from_file(path)
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.bytes_of = np.array([len(x) for x in names], np.int64)  # the byte alphabet has one character a byte
+        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.sizes = np.zeros(self.SLOTS, np.uint8)
+        self.ids = np.zeros((self.SLOTS, self.WIDTH), np.uint32)
+
+    def tokenised(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units in turn, and how many each has."""
+        size = end - start
+        stop = np.cumsum(size)
+        parts, counts, i = [], [], 0
+        while i < len(start):
+            base = stop[i] - size[i]
+            j = max(i + 1, int(np.searchsorted(stop, base + self.SLAB, "right")))
+            text = b"".join([raw[a:b] for a, b in zip(start[i:j].tolist(), end[i:j].tolist())]).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            edge = np.cumsum(self.bytes_of[ids])
+            last = np.searchsorted(edge, stop[i:j] - base)
+            parts.append(ids)
+            counts.append(np.diff(last + 1, prepend=0))
+            i = j
+        return np.concatenate(parts), np.concatenate(counts)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Ids of each text in the buffer, without the end token."""
@@ -81,31 +93,66 @@ class Coder:
             before = solid[:-2].copy()
             before[1:] |= (data[1:-2] >= 0x80) & (data[:-3] == 0xC3)
             cut[1:-1] = (data[1:-1] == 0x20) & before & letter[2:]
-        cut[off[1:][np.diff(off) > 0] - 1] = False
-        cut[off[:-1][np.diff(off) > 0]] = True
+        cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        some = np.diff(off) > 0
+        tails = off[1:][some] - 1
+        cut[tails] &= data[tails] != 0x20
+        cut[off[:-1][some]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
         keys = textbuf.ranges_hash(textbuf.prefix_sums(data), start, end)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.limit:
-            self.clear()
-        known = self.known
-        slot = [known.get(k, -1) for k in distinct.tolist()]
-        new = [i for i, k in enumerate(slot) if k < 0]
-        if new:
-            raw = data.tobytes()
-            at = len(known)
-            self.learn([int(distinct[i]) for i in new], [raw[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in new])
-            for k, i in enumerate(new):
-                slot[i] = at + k
-        slots = np.asarray(slot, np.int64)[inverse]
-        size, begin = self.lengths[slots], self.starts[slots]
+        slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        size = self.sizes[slot].astype(np.int64)
+        rows = self.ids[slot]
+        miss = np.flatnonzero((self.keys[slot] != keys) | (size == 0))
+        more = np.zeros(0, np.uint32)
+        begin = np.zeros(len(miss), np.int64)
+        if len(miss):
+            distinct, first, inverse = np.unique(keys[miss], return_index=True, return_inverse=True)
+            own = miss[first]
+            # what may not follow on another unit's end, or not be followed by one
+            alone = (data[start[own]] != 0x20) | (np.isin(end[own], off) & ~solid[end[own] - 1])
+            more, counts = self.learned(data, start[own], end[own], alone)
+            at = np.cumsum(counts) - counts
+            small = np.flatnonzero(counts <= self.WIDTH)
+            put = slot[own[small]]
+            self.keys[put], self.sizes[put] = distinct[small], counts[small]
+            fits = np.arange(self.WIDTH) < counts[small, None]
+            block = np.zeros((len(small), self.WIDTH), np.uint32)
+            block[fits] = more[np.repeat(at[small], counts[small]) + (np.arange(counts[small].sum()) - np.repeat(np.cumsum(counts[small]) - counts[small], counts[small]))]
+            self.ids[put] = block
+            size[miss], begin = counts[inverse], at[inverse]
         stop = np.cumsum(size)
-        total = int(stop[-1])
-        ids = self.ids[np.repeat(begin - (stop - size), size) + np.arange(total)]
+        ids = np.empty(int(stop[-1]), np.uint32)
+        hit = np.ones(len(keys), bool)
+        hit[miss] = False
+        fits = (np.arange(self.WIDTH) < size[:, None]) & hit[:, None]
+        ids[np.repeat(hit, size)] = rows[fits]
+        if len(miss):
+            n_ids = size[miss]
+            ids[np.repeat(~hit, size)] = more[np.repeat(begin - (np.cumsum(n_ids) - n_ids), n_ids) + np.arange(n_ids.sum())]
         bounds = np.concatenate(([0], stop))[np.searchsorted(start, off)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
+    def learned(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of distinct units: each of `alone` by itself, the others as one text."""
+        raw = data.tobytes()
+        counts = np.zeros(len(start), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        joined = np.flatnonzero(~alone)
+        if len(joined):
+            ids, own = self.tokenised(raw, start[joined], end[joined])
+            counts[joined] = own
+            parts.append((np.repeat(joined, own), ids))
+        single = np.flatnonzero(alone)
+        for i in range(0, len(single), 1000):
+            part = single[i : i + 1000].tolist()
+            for k, code in zip(part, self.tokenizer.encode_batch_fast([raw[start[k] : end[k]].decode("utf-8", "replace") for k in part], add_special_tokens=False)):
+                counts[k] = len(code.ids)
+                parts.append((np.full(len(code.ids), k), np.array(code.ids, np.uint32)))
+        unit, ids = (np.concatenate(x) for x in zip(*parts))
+        return ids[np.argsort(unit, kind="stable")], counts
+
 
 def coder(path: str) -> Coder:
     if path not in _coders:
