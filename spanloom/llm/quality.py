@@ -1,9 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy (operator 8).
 
 A text's bytes are covered by overlapping chunks. Learned filters over consecutive byte
-embeddings are rectified and averaged within a chunk, giving the chunk's densities; a
-hidden layer follows, its units are max-pooled over the chunks of the whole document,
-and one logistic unit combines them into a probability.
+embeddings are max-pooled over the positions of a chunk; a hidden layer combines them, its
+units are max-pooled over the chunks of the whole document, and one logistic unit makes
+them a probability.
 
 The fit takes at most `max_rows` labelled rows, those of the smallest id digest.
 
@@ -27,7 +27,7 @@ from spanloom.llm.shared import documents, held_out
 from spanloom.llm.toxicity import training_rows
 
 CHUNK, STEP = 256, 192
-WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 6, 24, 12
+WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 16, 4, 6, 32, 16
 MAX_ROWS = 3000
 SCHEMA = "doc_id long, score double"
 NAMES = ("embed", "filters", "bias", "dense", "dense_bias", "out", "out_bias")
@@ -55,25 +55,23 @@ class Network:
         return np.lib.stride_tricks.as_strided(x, (len(chunks), n, WIDTH * EMBED), (x.strides[0], STRIDE * EMBED * s, s))
 
     def chunk_units(self, chunks: np.ndarray):
+        """(windows, filters at every position, rectified maxima over positions, hidden units before the rectifier)."""
         w = self.windows(chunks)
         flat = np.ascontiguousarray(w).reshape(-1, WIDTH * EMBED)
-        act = flat @ self.filters
-        act += self.bias
-        np.maximum(act, 0, out=act)
-        act = act.reshape(len(chunks), w.shape[1], FILTERS)
-        dense = act.mean(1) @ self.dense + self.dense_bias
-        return flat, act, dense
+        act = (flat @ self.filters).reshape(len(chunks), w.shape[1], FILTERS)
+        top = np.maximum(act.max(1) + self.bias, 0)
+        return flat, act, top, top @ self.dense + self.dense_bias
 
     def forward(self, chunks: np.ndarray, first: np.ndarray, block: int = 1024) -> np.ndarray:
         """Probabilities of the documents whose chunks start at `first`."""
         if self.constant is not None:
             return np.full(len(first), self.constant)
-        units = np.concatenate([self.chunk_units(chunks[i : i + block])[2] for i in range(0, len(chunks), block)])
+        units = np.concatenate([self.chunk_units(chunks[i : i + block])[3] for i in range(0, len(chunks), block)])
         pooled = np.maximum.reduceat(np.maximum(units, 0), first)
         return 1 / (1 + np.exp(-(pooled @ self.out + self.out_bias[0]).astype(float)))
 
     def gradients(self, chunks: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        flat, act, dense = self.chunk_units(chunks)
+        flat, act, top, dense = self.chunk_units(chunks)
         hidden = np.maximum(dense, 0)
         count = np.diff(np.append(first, len(chunks)))
         pooled = np.maximum.reduceat(hidden, first)
@@ -82,13 +80,16 @@ class Network:
         g = {"out": pooled.T @ d, "out_bias": d.sum(keepdims=True)}
         best = (hidden == np.repeat(pooled, count, 0)) & (hidden > 0)
         d_dense = np.where(best, np.repeat(d[:, None] * self.out, count, 0), 0).astype(np.float32)
-        g |= {"dense": act.mean(1).T @ d_dense, "dense_bias": d_dense.sum(0)}
-        d_act = (d_dense @ self.dense.T / act.shape[1])[:, None, :] * (act > 0)
-        d_flat = d_act.reshape(-1, FILTERS)
-        g |= {"filters": flat.T @ d_flat, "bias": d_flat.sum(0)}
-        d_win = (d_flat @ self.filters.T).reshape(len(chunks), act.shape[1], WIDTH, EMBED)
-        at = np.arange(act.shape[1])[:, None] * STRIDE + np.arange(WIDTH)
-        codes = chunks[:, at].ravel()
+        g |= {"dense": top.T @ d_dense, "dense_bias": d_dense.sum(0)}
+        d_top = (d_dense @ self.dense.T) * (top > 0)
+        # only the position of a filter's maximum learns
+        chunk, of = np.nonzero(d_top)
+        where, each = act.argmax(1)[chunk, of], d_top[chunk, of]
+        one = np.zeros((len(chunk), FILTERS), np.float32)
+        one[np.arange(len(chunk)), of] = each
+        g |= {"filters": flat.reshape(len(chunks), act.shape[1], -1)[chunk, where].T @ one, "bias": d_top.sum(0)}
+        d_win = (self.filters.T[of] * each[:, None]).reshape(len(chunk), WIDTH, EMBED)
+        codes = chunks[chunk[:, None], where[:, None] * STRIDE + np.arange(WIDTH)].ravel()
         d_embed = np.stack([np.bincount(codes, weights=d_win[..., e].ravel(), minlength=257) for e in range(EMBED)], 1)
         d_embed[256] = 0
         return g | {"embed": d_embed.astype(np.float32)}
@@ -107,7 +108,7 @@ def chunked(data: np.ndarray, off: np.ndarray, size: int = CHUNK, step: int = ST
     return np.where(inside, raw[np.minimum(off[:-1][doc][:, None] + at, len(data))].astype(np.int16), 256), first
 
 
-def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> Network:
+def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> Network:
     """Adam over shuffled documents."""
     y = (labels > 0).astype(np.float32)
     if not len(y) or y.min() == y.max():
