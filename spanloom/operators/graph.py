@@ -11,6 +11,7 @@ from spanloom.operators import powerlaw
 from spanloom.operators.loci import Loci
 from spanloom.operators.nearest import nearest
 from spanloom.operators.overlap import overlap_pairs
+from spanloom.operators.rounds import Rounds
 from spanloom.sources import text
 
 KEY = ["loop_id", "ord1", "ord2"]
@@ -120,6 +121,40 @@ class Architecture:
         own = Window.partitionBy(F.least("uid1", "uid2"), F.greatest("uid1", "uid2")).orderBy(*KEY)
         return Architecture(self.edges.withColumn("k", F.row_number().over(own)).where("k = 1").drop("k"), self.name, self.loops, self.mapped)
 
+    # algorithms: loops of joins, each round of which is a written table
+    def within(self, sources: DataFrame, hops: int) -> DataFrame:
+        """(source, uid, hops) of the vertices that each `uid` of sources reaches in at most `hops` edges, by fewest edges."""
+        rounds = Rounds(self.edges.sparkSession)
+        ways = rounds.table(self.adjacency().select("uid", "neighbor"))
+        front = rounds.table(self.vertices().join(sources.select("uid").distinct(), "uid").select(F.col("uid").alias("source"), "uid", F.lit(0).alias("hops")))
+        near = front
+        for k in range(1, hops + 1):
+            step = front.join(ways, "uid").select("source", F.col("neighbor").alias("uid")).distinct()
+            front = rounds.table(step.join(near.select("source", "uid"), ["source", "uid"], "left_anti").withColumn("hops", F.lit(k)))
+            if front.isEmpty():
+                break
+            near = near.unionByName(front)
+        return near
+
+    def components(self) -> DataFrame:
+        """(uid, component): the smallest uid of the vertex's connected component.
+
+        Each round takes the least label of the neighbours, then that label's own label, so the rounds
+        grow with the logarithm of a component's width.
+        """
+        rounds = Rounds(self.edges.sparkSession)
+        ways = rounds.table(self.adjacency().select("uid", "neighbor"))
+        labels = rounds.table(self.vertices().select("uid", F.col("uid").alias("component")))
+        while True:
+            around = ways.join(labels.select(F.col("uid").alias("neighbor"), "component"), "neighbor").groupBy("uid").agg(F.min("component").alias("near"))
+            hooked = labels.join(around, "uid").select("uid", F.col("component").alias("old"), F.least("component", "near").alias("hook"))
+            jump = labels.select(F.col("uid").alias("hook"), F.col("component").alias("further"))
+            new = rounds.table(hooked.join(jump, "hook").select("uid", "old", F.least("hook", "further").alias("component")))
+            labels = new.select("uid", "component")
+            if new.where("old <> component").isEmpty():
+                rounds.drop(kept=1)
+                return labels
+
     # weights
     def add_matrix(self, loci: Loci, bins: DataFrame, pixels: DataFrame, *, name: str = "w") -> "Architecture":
         """Weights from a contact matrix: an edge's bin pair's count, shared equally by the edges of that pair.

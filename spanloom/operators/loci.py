@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import center, length, slop, uid
 from spanloom.operators import merge as _merge
 from spanloom.operators import nearest as _nearest
 from spanloom.operators import overlap
+from spanloom.operators.order import numbered, part_of_range
 from spanloom.sources import text
 
 SCHEMA = "chrom string, start long, end long, strand string, ord long"
@@ -64,19 +65,71 @@ class Loci:
 
     # order
     def sort(self) -> "Loci":
-        """By (chrom, start), ties in their order; positions are renumbered in that order."""
-        return self._with(self.df.orderBy("chrom", "start", "ord").withColumn("ord", F.monotonically_increasing_id()))
+        """By (chrom, start), ties in their order; positions are renumbered from 0, without gaps.
+
+        Tiles of 65,536 bases are the buckets of the numbering, so nothing is sorted as a whole.
+        """
+        tiles = {"__chrom": F.col("chrom"), "__tile": F.shiftright("start", 16)}
+        return self._with(numbered(self.df, tiles, [F.col("start"), F.col("ord")], "ord"))
 
     def merge(self) -> "Loci":
         return self._with(_merge.merge(self.df))
 
     # lookups
+    def renumbered(self) -> "Loci":
+        """The same order with positions from 0, without gaps. Looks at the least, the largest and the number of positions."""
+        low, high, n = self.df.agg(F.min("ord"), F.max("ord"), F.count("*")).first()
+        if not n or (low == 0 and high == n - 1):
+            return self
+        if high - low == n - 1:
+            return self._with(self.df.withColumn("ord", F.col("ord") - F.lit(low)))
+        return self._with(numbered(self.df, {"__part": part_of_range(F.col("ord"), low, high)}, [F.col("ord")], "ord"))
+
     def at(self, index: int) -> DataFrame:
-        """The row at a position, for contiguous positions."""
-        return self.df.where(F.col("ord") == index)
+        """The row at a position of the list, from its end if negative; IndexError beyond it."""
+        rows = self.renumbered()
+        found = rows.df.where(F.col("ord") == (index if index >= 0 else rows.count() + index))
+        if found.isEmpty():
+            raise IndexError(index)
+        return found
 
-    def slice(self, start: int, stop: int) -> "Loci":
-        return self._with(self.df.where((F.col("ord") >= start) & (F.col("ord") < stop)))
+    def slice(self, start: int | None = None, stop: int | None = None, step: int = 1) -> "Loci":
+        """As a list's slice with a positive step; positions are those in the list."""
+        if step < 1:
+            raise ValueError("the step must be positive")
+        rows = self.renumbered()
+        if min(start or 0, stop or 0) < 0:
+            start, stop, _ = slice(start, stop).indices(rows.count())
+        kept = F.col("ord") >= (start or 0)
+        if stop is not None:
+            kept = kept & (F.col("ord") < stop)
+        return self._with(rows.df.where(kept & ((F.col("ord") - (start or 0)) % step == 0)))
+
+    def __getitem__(self, key: "int | str | slice") -> "DataFrame | Loci":
+        """Position, uid (the last row of it) or slice."""
+        if isinstance(key, slice):
+            return self.slice(key.start, key.stop, key.step or 1)
+        return self.at(key) if isinstance(key, int) else self.get(key)
+
+    def __len__(self) -> int:
+        return self.count()
+
+    def __bool__(self) -> bool:
+        return not self.df.isEmpty()
+
+    def __iter__(self) -> Iterator[Row]:
+        """Rows in order, a partition at a time."""
+        return iter(self.df.orderBy("ord").toLocalIterator())
+
+    def __contains__(self, key: str) -> bool:
+        return self.contains(key)
+
+    def index(self, key: str) -> int:
+        """The position of the first row of a uid; ValueError if there is none."""
+        first = self.renumbered().df.where(uid() == key).agg(F.min("ord").alias("ord")).first()["ord"]
+        if first is None:
+            raise ValueError(f"{key} is not there")
+        return first
 
     def uids(self) -> DataFrame:
         """(uid, ord): a repeated uid has its last position."""
@@ -113,13 +166,31 @@ class Loci:
     def contains(self, key: str) -> bool:
         return not self.df.where(uid() == key).isEmpty()
 
-    def count(self) -> int:
-        return self.df.count()
+    def count(self, key: str | None = None) -> int:
+        """Of all rows, or of a uid's."""
+        return (self.df if key is None else self.df.where(uid() == key)).count()
 
     # list-like operations that return new loci
     def extend(self, other: "Loci") -> "Loci":
         return self + other
 
+    def append(self, chrom: str, start: int, end: int, strand: str = ".") -> "Loci":
+        return self + Loci.of(self.df.sparkSession, [(chrom, start, end, strand)])
+
+    def insert(self, index: int, chrom: str, start: int, end: int, strand: str = ".") -> "Loci":
+        """Before the position `index`, as a list does; those from there on move by one."""
+        rows = self.renumbered()
+        n = rows.count()
+        at = max(0, n + index) if index < 0 else min(index, n)
+        moved = rows.df.withColumn("ord", F.when(F.col("ord") >= at, F.col("ord") + 1).otherwise(F.col("ord")))
+        return self._with(moved.unionByName(Loci.of(self.df.sparkSession, [(chrom, start, end, strand)]).df.withColumn("ord", F.lit(at).cast("long"))))
+
+    def pop(self, index: int = -1) -> tuple[Row, "Loci"]:
+        """The row at a position, and the loci without it."""
+        row = self.at(index).first()
+        rows = self.renumbered()
+        return row, self._with(rows.df.where(F.col("ord") != row["ord"]))
+
     def remove(self, key: str) -> "Loci":
         """Without the first row of a uid."""
         first = self.df.where(uid() == key).agg(F.min("ord").alias("ord")).first()["ord"]
@@ -172,6 +243,32 @@ class Loci:
     def tag(self, other, tag: str, mode: str = "uid"):
         return self.map({tag: other}, mode)
 
+    # signal
+    def signal(self, tracks: "DataFrame | list[str]", sizes: DataFrame | None = None, *, n_bins: int = 200, flank: int = 3000, agg: str = "mean", span: bool = False, edge_mode: str = "compat") -> DataFrame:
+        """(ord, uid, track, bin, value): bigWig paths, whose chromosome sizes are their own, or a frame of
+        (track, chrom, start, end, value) with (chrom, length) sizes. ValueError without loci."""
+        from spanloom.operators import signal
+        from spanloom.sources import bigwig
+
+        if not isinstance(tracks, DataFrame):
+            spark = self.df.sparkSession
+            tracks, sizes = bigwig.read_bigwig(spark, list(tracks)), bigwig.chrom_sizes(spark, list(tracks)) if sizes is None else sizes
+        if sizes is None:
+            raise ValueError("a frame of tracks needs the chromosomes' sizes")
+        return signal.signal(self, tracks, sizes, n_bins=n_bins, flank=flank, agg=agg, span=span, edge_mode=edge_mode)
+
+    def heatmap_frame(self, values: DataFrame, sets: DataFrame, no_sort: bool = False, limit=None) -> DataFrame:
+        """What a heatmap of signal() values draws. sets: (ord, set)."""
+        from spanloom.operators import signal
+
+        return signal.heatmap_frame(values, sets, no_sort, limit)
+
+    def profile_frame(self, values: DataFrame, sets: DataFrame) -> DataFrame:
+        """What a profile plot of signal() values draws. sets: (ord, set)."""
+        from spanloom.operators import signal
+
+        return signal.profile_frame(values, sets)
+
     # sinks
     def to_bed(self, path: str | None = None) -> DataFrame:
         """BED6 lines in order; written as one text file's folder if a path is given."""

@@ -3,9 +3,9 @@
 An interval's own level is the finest whose bins are at least as wide as it is, so it
 meets two bins of that level, or of any coarser one, at most. A pair meets on the
 coarser of its two levels: either side's intervals on their own level join the other
-side's on all levels from their own on (the second time: above their own). That is an
-equi-join on (chrom, level, bin), whatever the mix of widths; narrow intervals never
-meet on a coarse level unless one of them is wide. Of the bins that a pair shares, the
+side's on all levels from their own on (the second time: above their own), of those that
+occur on the first side. That is an equi-join on (chrom, level, bin), whatever the mix of
+widths; narrow intervals never meet on a coarse level unless one of them is wide. Of the bins that a pair shares, the
 one of the larger first base emits it, once.
 """
 
@@ -19,23 +19,38 @@ LOCUS = ("chrom", "start", "end", "strand", "ord")
 _TOP = 63
 
 
-def binned(df: DataFrame, which: str, prefix: str, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """All columns, prefixed, with <prefix>_lo and the keys <prefix>_chrom, _level and _bin.
-
-    which levels: `own`, `all` from its own on, or those `above` its own. An empty or inverted
-    interval spans the bases between its ends.
-    """
+def located(df: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """df with its first and last base and own level. An empty or inverted interval spans the bases between its ends."""
     last = F.col("end") - 1
     lo, hi = F.least("start", last), F.greatest("start", last)
     own = F.lit(_TOP)
     for level in reversed(levels):
         own = F.when(hi - lo < (1 << level), F.lit(level)).otherwise(own)
-    out = df.where("chrom is not null and start is not null and end is not null").withColumns({"__lo": lo, "__hi": hi, "__own": own})
-    if which == "own":
-        out = out.withColumn("__level", F.col("__own"))
+    return df.where("chrom is not null and start is not null and end is not null").withColumns({"__lo": lo, "__hi": hi, "__own": own})
+
+
+def levels_of(df: DataFrame, levels: tuple[int, ...] = LEVELS) -> Column:
+    """The own levels that occur in df, ascending: a subquery, run once and before the join. All levels for a stream."""
+    if df.isStreaming:
+        return F.array(*[F.lit(x) for x in (*levels, _TOP)])
+    return located(df, levels).agg(F.array_sort(F.collect_set("__own"))).scalar()
+
+
+def binned(df: DataFrame, which: str, prefix: str, levels: tuple[int, ...], there: Column) -> DataFrame:
+    """All columns, prefixed, with <prefix>_lo and the keys <prefix>_chrom, _level and _bin.
+
+    there: the other side's own levels. which levels: `own`, `all` of the other side's from its own
+    on, or those of them `above` its own; on its own level an interval meets those of `there` up to
+    it, so others are left out.
+    """
+    out = located(df, levels).withColumn("__there", there)
+    if which in ("own", "wider"):
+        least = F.array_min("__there")
+        met = F.col("__own") >= least if which == "own" else F.col("__own") > least
+        out = out.where(met).withColumn("__level", F.col("__own"))
     else:
         keep = (lambda x: x >= F.col("__own")) if which == "all" else (lambda x: x > F.col("__own"))
-        out = out.withColumn("__level", F.explode(F.filter(F.array(*[F.lit(x) for x in (*levels, _TOP)]), keep)))
+        out = out.withColumn("__level", F.explode(F.filter("__there", keep)))
     out = out.withColumn("__bin", F.explode(F.sequence(_bin("__lo", "__level"), _bin("__hi", "__level"))))
     kept = [F.col(c).alias(f"{prefix}{c}") for c in df.columns]
     return out.select(*kept, F.col("__lo").alias(f"{prefix}_lo"), F.col("chrom").alias(f"{prefix}_chrom"), F.col("__level").alias(f"{prefix}_level"), F.col("__bin").alias(f"{prefix}_bin"))
@@ -54,7 +69,8 @@ def met() -> Column:
 
 def sides(a: DataFrame, b: DataFrame, levels: tuple[int, ...] = LEVELS) -> list[tuple[DataFrame, DataFrame]]:
     """The two joins that together have every pair once: the wider one is of `a` (or none is), or of `b`."""
-    return [(binned(a, x, "a_", levels), binned(b, y, "b_", levels)) for x, y in (("own", "all"), ("above", "own"))]
+    in_a, in_b = levels_of(a, levels), levels_of(b, levels)
+    return [(binned(a, x, "a_", levels, in_b), binned(b, y, "b_", levels, in_a)) for x, y in (("own", "all"), ("above", "wider"))]
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:

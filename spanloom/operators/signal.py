@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import center, uid
 from spanloom.operators.loci import Loci
+from spanloom.operators.order import numbered, part_of_range
 from spanloom.operators.overlap import overlap_pairs
 
 #: The bin statistics.
@@ -109,15 +110,26 @@ def profile_limit(profile: DataFrame, q: float = 0.99) -> DataFrame:
 
 
 def heatmap_order(values: DataFrame, no_sort: bool = False) -> DataFrame:
-    """(ord, mean, place) of the heatmap's rows: by falling mean over tracks and bins, later rows first on ties."""
+    """(ord, mean, place) of the heatmap's rows: by falling mean over tracks and bins, later rows first on ties;
+    places are 0, 1, 2 ... (numbered within equal parts of the means' range)."""
     means = values.groupBy("ord").agg(F.avg("value").alias("mean"))
     keys = [F.col("ord").asc()] if no_sort else [F.col("mean").desc(), F.col("ord").desc()]
-    return means.orderBy(*keys).withColumn("place", F.monotonically_increasing_id())
-
-
-def heatmap_frame(values: DataFrame, sets: DataFrame, no_sort: bool = False) -> DataFrame:
-    """(set, track, ord, place, bin, value): what a heatmap draws."""
-    return values.join(sets, "ord").join(heatmap_order(values, no_sort).select("ord", "place"), "ord").select("set", "track", "ord", "place", "bin", "value")
+    value = F.col("ord") if no_sort else -F.col("mean")
+    low, high = means.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        return means.withColumn("place", F.lit(0).cast("long"))
+    return numbered(means, {"__part": part_of_range(value, low, high)}, keys, "place")
+
+
+def heatmap_frame(values: DataFrame, sets: DataFrame, no_sort: bool = False, limit=None) -> DataFrame:
+    """(set, track, ord, place, bin, value): what a heatmap draws. limit: the colour scale's end, at which values
+    are cut off: one for all tracks, or a list with one for each track by name."""
+    out = values.join(sets, "ord").join(heatmap_order(values, no_sort).select("ord", "place"), "ord").select("set", "track", "ord", "place", "bin", "value")
+    if limit is None:
+        return out
+    tracks = [r[0] for r in values.select("track").distinct().orderBy("track").collect()]  # as many as there are files
+    ends = F.create_map(*[F.lit(x) for pair in zip(tracks, map(float, listed(limit, len(tracks), "limit"))) for x in pair])
+    return out.withColumn("value", F.least("value", F.element_at(ends, F.col("track"))))
 
 
 def set_labels(sets: DataFrame) -> DataFrame:

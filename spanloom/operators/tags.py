@@ -102,15 +102,18 @@ class Tags:
             return None
 
     def resolve(self, name: str) -> str:
-        """Exact, then case-insensitive, then by alias; AttributeError if none or several fit."""
+        """Exact, then the first in order of adding that fits whatever the case, then by alias; AttributeError if
+        none fits, or several by alias."""
         if name in self.entries:
             return name
-        for test in (lambda k: k.lower() == name.lower(), lambda k: name.lower() in self._aliases[k]):
-            found = sorted(k for k in self.entries if test(k))
-            if len(found) == 1:
-                return found[0]
-            if found:
-                raise AttributeError(f"{name} may be any of {', '.join(found)}")
+        own = next((k for k in self.entries if k.lower() == name.lower()), None)
+        if own is not None:
+            return own
+        found = sorted(k for k in self.entries if name.lower() in self._aliases[k])
+        if len(found) == 1:
+            return found[0]
+        if found:
+            raise AttributeError(f"{name} may be any of {', '.join(found)}")
         raise AttributeError(f"no tag {name}; there are {', '.join(sorted(self.entries))}")
 
     # reads

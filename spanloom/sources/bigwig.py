@@ -103,10 +103,15 @@ class Reader(DataSourceReader):
             out += [Run(path, blocks[i : i + self.run]) for i in range(0, len(blocks), self.run)]
         return out or [Run("", [])]
 
+    def name_of(self, path: str) -> str:
+        """The base name without its suffix; the whole path where two files share it."""
+        base = lambda p: os.path.splitext(os.path.basename(p))[0]
+        return base(path) if sum(base(p) == base(path) for p in self.paths) == 1 else path
+
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
         if not partition.blocks:
             return
-        f, track = File(partition.path), os.path.splitext(os.path.basename(partition.path))[0]
+        f, track = File(partition.path), self.name_of(partition.path)
         chroms = f.chroms()
         for at, size in partition.blocks:
             rows = list(f.block(at, size))
@@ -127,10 +132,15 @@ class BigWig(DataSource):
 
 
 def read_bigwig(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(track, chrom, start, end, value) of files that all nodes can open; the track is the file's name."""
+    """(track, chrom, start, end, value) of files that all nodes can open; the track is the file's name (or path, see Reader.name_of)."""
     spark.dataSource.register(BigWig)
     return spark.read.format("bigwig").load(paths if isinstance(paths, str) else ",".join(paths))
 
 
-def chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(list(File(path).chroms().values()), "chrom string, length long")
+def chrom_sizes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(chrom, length) of all files' chromosomes; where files differ, the largest."""
+    sizes: dict[str, int] = {}
+    for path in [paths] if isinstance(paths, str) else paths:
+        for chrom, length in File(path).chroms().values():
+            sizes[chrom] = max(length, sizes.get(chrom, 0))
+    return spark.createDataFrame(list(sizes.items()), "chrom string, length long")

@@ -62,11 +62,10 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def attribute(text: Column, key: str) -> Column:
     """The value of the last `key value` entry of a GTF attribute field, without quotes; null if absent."""
-    entry = F.transform(F.split(text, ";"), lambda x: F.trim(x))
-    own = F.filter(entry, lambda x: F.substring_index(x, " ", 1) == key)
-    last = F.element_at(own, -1)
-    value = F.trim(F.replace(F.substring(last, F.lit(len(key) + 2), F.length(last)), F.lit('"'), F.lit("")))
-    return F.when(F.size(own) > 0, value)
+    # one greedy search a key, so that the expression stays in generated code
+    own = F.regexp_extract(text, f"^(?s:(?:.*;)?) *({re.escape(key)}(?: [^;]*)?)(?:;|$)", 1)
+    value = F.trim(F.replace(F.substring(own, len(key) + 2, 1 << 30), F.lit('"'), F.lit("")))
+    return F.when(own != "", value)
 
 
 def read_gtf(spark: SparkSession, path: str, **options) -> DataFrame:
