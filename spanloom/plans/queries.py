@@ -130,14 +130,13 @@ def loci_overlap_pairs(spark):
     return a(spark).pairs(b(spark)).select(F.col("a_ord").alias("ord_a"), F.col("b_ord").alias("ord_b"), F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"))
 
 
-_NEAREST = """select {cols} from (
-  select a.*, b.s as s_b, b.e as e_b, b.ord as ord_b, {name} as name_b,
-         case when a.s < b.e and b.s < a.e then 0 when b.e <= a.s then a.s - b.e + 1 else b.s - a.e + 1 end as distance,
-         row_number() over (partition by a.ord, a.s, a.e, a.strand order by case when a.s < b.e and b.s < a.e then 0 when b.e <= a.s then a.s - b.e + 1 else b.s - a.e + 1 end, b.s, b.e, b.ord) as k
-  from {left} a join {right} b on a.chrom = b.chrom) where k = 1"""
+_NEAREST = """select ord, {cols} from (
+  select a.ord, a.s, a.e, a.strand, min(struct_pack(
+    distance := case when a.s < b.e and b.s < a.e then 0 when b.e <= a.s then a.s - b.e + 1 else b.s - a.e + 1 end, s_b := b.s, e_b := b.e, ord_b := b.ord)) as c
+  from {left} a join {right} b on a.chrom = b.chrom group by a.ord, a.s, a.e, a.strand)"""
 
 
-@query(_NEAREST.format(cols="ord, s_b, e_b, ord_b, distance", name="''", left="loci_a", right="loci_b"), "loci_a", "loci_b")
+@query(_NEAREST.format(cols="c.s_b, c.e_b, c.ord_b, c.distance", left="loci_a", right="loci_b"), "loci_a", "loci_b")
 def loci_nearest(spark):
     from spanloom.operators.nearest import nearest
 
@@ -254,7 +253,7 @@ def genes_annotation_counts(spark):
     return genes(spark).annotations(a(spark)).groupBy("annotation").agg(F.count("*").alias("n"))
 
 
-@query(_NEAREST.format(cols="ord, s_b, e_b, distance", name="''", left="loci_a", right="(select chrom, greatest(0, s - 1000) as s, e + 1000 as e, first as ord from (select chrom, case strand when '+' then s else e end as s, case strand when '+' then s + 1 else e - 1 end as e, row_number() over (partition by gene_name order by ord desc) as k, min(ord) over (partition by gene_name) as first from genes_v) where k = 1)"), "loci_a", "genes_v")
+@query(_NEAREST.format(cols="c.s_b, c.e_b, c.distance", left="loci_a", right="(select chrom, greatest(0, s - 1000) as s, e + 1000 as e, first as ord from (select chrom, case strand when '+' then s else e end as s, case strand when '+' then s + 1 else e - 1 end as e, row_number() over (partition by gene_name order by ord desc) as k, min(ord) over (partition by gene_name) as first from genes_v) where k = 1)"), "loci_a", "genes_v")
 def genes_nearest(spark):
     from spanloom.operators.nearest import nearest
 
@@ -352,13 +351,6 @@ def powerlaw_ols(spark):
     return row.select(F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
 
 
-@query()
-def contacts_normalized(spark):
-    g, own = architecture(spark)
-    out = g.add_matrix(own, *matrix(spark)).normalize(own).edges
-    return out.select("loop_id", "ord1", "ord2", "w", "d", "n")
-
-
 def tags(spark: SparkSession) -> Tags:
     x = a(spark)
     rows = x.df.withColumn("uid", uid())
@@ -464,67 +456,48 @@ def signal_set_labels(spark):
     return _signal.set_labels(_profile(spark)[1])
 
 
-def genome(spark: SparkSession, column: str = "text") -> DataFrame:
+_SEQ = "trim(replace(replace(text, chr(10), ' '), '>', 'N'), ' ')"
+
+
+def genome(spark: SparkSession) -> DataFrame:
     """Whole texts as sequences, one a document."""
-    raw = spark.table("documents").where("text is not null and doc_id is not null").select(F.expr(f"concat('chr', doc_id, ' x\n', replace({column}, '\n', ' '))").alias("value"), F.col("doc_id").alias("ord"))
+    raw = spark.table("documents").where("text is not null and doc_id is not null").select(F.expr("concat('chr', doc_id, ' x\n', replace(text, '\n', ' '))").alias("value"), F.col("doc_id").alias("ord"))
     return text.parse_records(raw.withColumn("value", F.replace("value", F.lit(">"), F.lit("N"))))
 
 
-@query("select concat('chr', doc_id) as name, trim(replace(replace(substr(text, 1, 4000), chr(10), ' '), '>', 'N'), ' ') as seq from documents where trim(replace(text, chr(10), ' '), ' ') <> ''")
+@query(f"select concat('chr', doc_id) as name, {_SEQ} as seq from documents where {_SEQ} <> ''")
 def fasta_parse(spark):
-    # its SQL asks for the first 4000 characters; fasta_whole has the whole texts
-    return genome(spark, "substr(text, 1, 4000)").select("name", "seq")
-
-
-@query("select concat('chr', doc_id) as name, trim(replace(replace(text, chr(10), ' '), '>', 'N'), ' ') as seq from documents where trim(replace(text, chr(10), ' '), ' ') <> ''")
-def fasta_whole(spark):
     return genome(spark).select("name", "seq")
 
 
-def _spots(spark: SparkSession) -> Loci:
-    rows = spark.table("documents").where("text is not null and doc_id is not null").selectExpr("concat('chr', doc_id) as chrom", "doc_id % 97 as start", "doc_id % 97 + 60 as end", "'+' as strand", "doc_id as ord")
-    return Loci(rows)
+def _sequences(spark: SparkSession, r: int | None = None) -> DataFrame:
+    """Sequences of loci that span whole texts, or of r bases around their centers, cut from tiles."""
+    g = genome(spark)
+    own = Loci(g.selectExpr("name as chrom", "0L as start", "cast(length(seq) as bigint) as end", "'+' as strand", "ord"))
+    return _motifs.cut_sequences(own, _motifs.tiles(g), r)
 
 
-@query("""select doc_id as ord, substr(seq, (doc_id % 97)::int + 1, 60) as sequence from (
-select doc_id, trim(replace(replace(substr(text, 1, 4000), chr(10), ' '), '>', 'N'), ' ') as seq from documents where trim(replace(text, chr(10), ' '), ' ') <> '')""")
+@query(f"select doc_id as ord, {_SEQ} as sequence from documents where {_SEQ} <> ''")
 def locus_sequence(spark):
-    g = genome(spark)
-    known = g.select(F.col("name").alias("chrom"))
-    own = _spots(spark)
-    return _motifs.cut_sequences(Loci(own.df.join(known, "chrom", "left_semi")), _motifs.tiles(g), None).select("ord", "sequence")
+    return _sequences(spark).select("ord", "sequence")
+
+
+@query(f"""select doc_id as ord, substr(seq, greatest(0, len(seq) // 2 - 40)::int + 1, (len(seq) // 2 + 40 - greatest(0, len(seq) // 2 - 40))::int) as sequence
+from (select doc_id, {_SEQ} as seq from documents where {_SEQ} <> '')""")
+def locus_sequence_radius(spark):
+    return _sequences(spark, 40).select("ord", "sequence")
 
 
 #: A made-up motif: counts by position of A, C, G, T.
 MOTIF = [("TATA", [[1, 1, 1, 17], [17, 1, 1, 1], [1, 1, 1, 17]]), ("none", [[20, 0, 0, 0]] * 9)]
 
 
-@query("""select m as motif, v as score from (values ('none', 0.0::double), ('TATA', (select coalesce(sum(case when lower(substr(w, i + 1, 3)) = 'tat' then 1 else 0 end), 0) / 3.0 from (
-select substr(trim(replace(replace(substr(text, 1, 4000), chr(10), ' '), '>', 'N'), ' '), (doc_id % 97)::int + 1, 60) as w from documents) cross join (select unnest(range(58)) as i))::double)) t(m, v)""")
+# 'ta' never overlaps itself: a hit is a piece between two of them that goes on with 't', be it the next one's
+@query(f"""with w as (select lower({_SEQ}) as s from documents where {_SEQ} <> ''), p as (select s, string_split(s, 'ta') as ps from w)
+select 'TATA' as motif, coalesce(sum(len(list_filter(range(2, len(ps) + 1), lambda i: ps[i] like 't%' or (ps[i] = '' and i < len(ps))))), 0) / 3.0 as score from p
+union all select 'none', coalesce(sum(list_sum(list_transform(regexp_extract_all(s, 'a{{9,}}'), lambda r: len(r) - 8))), 0) / 9.0 from w""")
 def motif_scan(spark):
-    g = genome(spark)
-    seqs = _motifs.cut_sequences(Loci(_spots(spark).df), _motifs.tiles(g), None)
-    hits = _motifs.scan(seqs, MOTIF, threshold=4.0).groupBy("motif").agg(F.sum("n").alias("n"))
-    widths = spark.createDataFrame([(n, len(c)) for n, c in MOTIF], "motif string, width int")
-    return widths.join(hits, "motif", "left").select("motif", (F.coalesce("n", F.lit(0)) / F.col("width")).alias("score"))
-
-
-def _whole_sequences(spark: SparkSession) -> DataFrame:
-    """Sequences of loci that span whole texts, cut from their tiles."""
-    g = genome(spark)
-    own = Loci(g.selectExpr("name as chrom", "0L as start", "cast(length(seq) as bigint) as end", "'+' as strand", "ord"))
-    return _motifs.cut_sequences(own, _motifs.tiles(g), None)
-
-
-@query("""select doc_id as ord, trim(replace(replace(text, chr(10), ' '), '>', 'N'), ' ') as sequence from documents
-where trim(replace(text, chr(10), ' '), ' ') <> ''""")
-def locus_sequence_whole(spark):
-    return _whole_sequences(spark).select("ord", "sequence")
-
-
-@query()
-def motif_scan_whole(spark):
-    hits = _motifs.scan(_whole_sequences(spark), MOTIF, threshold=4.0).groupBy("motif").agg(F.sum("n").alias("n"))
+    hits = _motifs.scan(_sequences(spark), MOTIF, threshold=4.0).groupBy("motif").agg(F.sum("n").alias("n"))
     widths = spark.createDataFrame([(n, len(c)) for n, c in MOTIF], "motif string, width int")
     return widths.join(hits, "motif", "left").select("motif", (F.coalesce("n", F.lit(0)) / F.col("width")).alias("score"))
 

@@ -1,4 +1,8 @@
-"""Genomic inputs derived from the star-schema tables, as SQL that Spark and DuckDB both run."""
+"""Genomic inputs derived from the star-schema tables, as SQL that Spark and DuckDB both run.
+
+All rows of the tables are in: the odd lines of the orders are one set of loci, the even ones the
+other, and each line and the next one of its order are the anchors of a loop.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,12 @@ _LOCI = """
 select concat('chr', cast(l_suppkey % 5 + 1 as varchar(10))) as chrom, l_partkey*500 + l_orderkey % 500 as s,
        l_partkey*500 + l_orderkey % 500 + cast(l_quantity as bigint) as e,
        case l_returnflag when 'A' then '+' when 'R' then '-' else '.' end as strand,
-       ((l_orderkey*100000 + l_partkey)*10000 + l_suppkey)*100 + cast(l_quantity as bigint) as ord
-from lineitem where l_linenumber = {n}
+       ((l_orderkey*10 + l_linenumber)*1000000 + l_partkey)*100 + cast(l_quantity as bigint) as ord
+from lineitem where l_linenumber % 2 = {n}
 """
 VIEWS = {
     "loci_a": _LOCI.format(n=1),
-    "loci_b": _LOCI.format(n=2),
+    "loci_b": _LOCI.format(n=0),
     "genes_v": """
 select concat('G', cast(p_partkey as varchar(10))) as gene_id, p_name as gene_name, p_type as gene_type,
        concat('chr', cast(p_partkey % 5 + 1 as varchar(10))) as chrom, p_partkey*500 as s, p_partkey*500 + p_size*20 as e,
@@ -29,11 +33,12 @@ select gene_id, concat('T', substr(gene_id, 2)) as transcript_id, i as exon_numb
 from (select *, (e-s) as w from genes_v) g cross join numbers3
 """,
     "loops_v": """
-select a.l_orderkey*10000000 + a.l_suppkey*10000 + b.l_suppkey as loop_id,
-       concat('chr', cast(a.l_suppkey % 5 + 1 as varchar(10))) as chrom1, a.l_partkey*500 as s1, a.l_partkey*500 + 300 as e1,
-       concat('chr', cast(b.l_suppkey % 5 + 1 as varchar(10))) as chrom2, b.l_partkey*500 as s2, b.l_partkey*500 + 300 as e2
-from (select l_orderkey, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey from lineitem where l_linenumber = 1 group by l_orderkey) a
-join (select l_orderkey, min(l_suppkey) as l_suppkey, min(l_partkey) as l_partkey from lineitem where l_linenumber = 2 group by l_orderkey) b on a.l_orderkey = b.l_orderkey
+select loop_id, concat('chr', cast(k1 % 5 + 1 as varchar(10))) as chrom1, p1*500 as s1, p1*500 + 300 as e1,
+       concat('chr', cast(k2 % 5 + 1 as varchar(10))) as chrom2, p2*500 as s2, p2*500 + 300 as e2
+from (select l_orderkey*1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as loop_id, l_suppkey as k1, l_partkey as p1,
+             lead(l_suppkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as k2,
+             lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as p2 from lineitem) x
+where p2 is not null
 """,
     "anchors_v": """
 select chrom, s, e, strand, ord from genes_v
@@ -62,5 +67,7 @@ def with_views(sql: str, *names: str) -> str:
     """DuckDB text: the views it needs as common tables before the query."""
     if not names:
         return sql
+    if sql.startswith("with "):
+        sql = f"select * from ({sql})"
     parts = [f"{n} as ({VIEWS[n].replace('(e-s)/4', '(e-s)//4') if n == 'exons_v' else VIEWS[n]})" for n in names]
     return f"with {', '.join(parts)}\n{sql}"

@@ -5,7 +5,6 @@ import os
 import pytest
 
 from spanloom import plans
-from spanloom.plans.queries import genome
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not there")
@@ -23,12 +22,10 @@ def sf_dir(spark, tmp_path):
 
 def test_sequences_are_whole_texts(spark, sf_dir):
     whole = TEXT.replace("\n", " ").replace(">", "N")
-    plans.queries()["fasta_parse"](spark, sf_dir)
-    assert {r["name"]: r["seq"] for r in genome(spark).select("name", "seq").collect()} == {"chr1": whole, "chr2": "Tat"}
-    assert {r["name"]: r["seq"] for r in plans.queries()["fasta_whole"](spark, sf_dir).collect()} == {"chr1": whole, "chr2": "Tat"}
-    assert {r["ord"]: r["sequence"] for r in plans.queries()["locus_sequence_whole"](spark, sf_dir).collect()} == {1: whole, 2: "Tat"}
+    assert {r["name"]: r["seq"] for r in plans.queries()["fasta_parse"](spark, sf_dir).collect()} == {"chr1": whole, "chr2": "Tat"}
+    assert {r["ord"]: r["sequence"] for r in plans.queries()["locus_sequence"](spark, sf_dir).collect()} == {1: whole, 2: "Tat"}
 
 
 def test_motifs_are_sought_in_whole_texts(spark, sf_dir):
-    got = {r["motif"]: r["score"] for r in plans.queries()["motif_scan_whole"](spark, sf_dir).collect()}
+    got = {r["motif"]: r["score"] for r in plans.queries()["motif_scan"](spark, sf_dir).collect()}
     assert got == pytest.approx({"TATA": 4 / 3, "none": 1 / 9})
