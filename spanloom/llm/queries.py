@@ -12,7 +12,7 @@ from spanloom.llm.lines import OP7_SQL, op7_line_dedup
 from spanloom.llm.packing import op10_packing
 from spanloom.llm.quality import op8_quality
 from spanloom.llm.secrets import OP5_SQL, op5_secrets
-from spanloom.llm.suffixes import op4_suffix_dedup
+from spanloom.llm.suffixes import OP4_SQL, op4_suffix_dedup
 from spanloom.llm.toxicity import op6_toxicity
 from spanloom.llm.url_filter import OP2_SQL, op2_url_filter
 from spanloom.llm.winnow import op9_winnowing
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_secrets": OP5_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_jaccard": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_secrets": OP5_SQL, "op7_line_dedup": OP7_SQL}

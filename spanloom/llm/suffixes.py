@@ -2,12 +2,15 @@
 
 Only equality over `length` bytes matters, so suffixes are sorted to that depth, and
 only at anchors: each string of that length holds one (see anchors). The initial
-buckets are the anchors' q-grams. A bucket is refined by sorting on the identifiers of
-the contexts that reach to the later offsets; an identifier stands for all strings of
-its run, so a text whose identifier an earlier document has too is done. Buckets of a
-single identifier are done as well. What is left, the first text of each identifier in
-a mixed bucket, is refined once more by the same rule, on the identifiers of its single
-strings. A bucket never leaves the sort: hot ones stream through it, and what an earlier
+buckets are the anchors' q-grams, and every offset points to the bucket of its q-gram.
+Buckets are refined by sorting on bucket identifiers of later offsets: the identifiers of
+depth q at an offset and q further give those of depth 2q, which give those of `length`
+(anchors.refined_ids), so each refinement reads what the one before has made. Those of a
+run's first and last string stand for all strings of the run, so a text whose identifier
+an earlier document has too is done. Buckets of a single identifier are done as well. What
+is left, the first text of each identifier in a mixed bucket, is refined once more by the
+same rule, on the identifiers of its single strings. An identifier is a 64-bit digest, the
+same in every task, so no pointer has to be fetched from another one. A bucket never leaves the sort: hot ones stream through it, and what an earlier
 document of its own task already decides goes around it.
 
 Defined cases: null text is empty; documents are ranked by doc_id, a null id after all
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +87,7 @@ def judged_rows(docs: DataFrame, length: int, q: int) -> DataFrame:
 
 def refined(rows: DataFrame) -> DataFrame:
     """(doc, key, kind) from (bucket, context, doc, late): kind 0, an earlier document has the context;
-    kind 1, the first with its context in a bucket of several contexts. Late rows come last and pass as kind 0."""
+    kind 1, the first with its context in a bucket of several contexts. Late rows pass as kind 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last context's first row
@@ -93,7 +97,7 @@ def refined(rows: DataFrame) -> DataFrame:
             decided = batch.filter(batch.column(3))
             if decided.num_rows:
                 yield pa.RecordBatch.from_arrays([decided.column(2), decided.column(1), pa.array(np.zeros(decided.num_rows, np.int32))], ["doc", "key", "kind"])
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.slice(0, batch.num_rows - decided.num_rows).columns[:3]]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.filter(pc.invert(batch.column(3))).columns[:3]]
             if not len(cols[0]):
                 continue
             if held is not None:
@@ -115,7 +119,7 @@ def refined(rows: DataFrame) -> DataFrame:
         if held is not None and mixed:
             yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[1]), pa.array([1], pa.int32())], ["doc", "key", "kind"])
 
-    return rows.repartition("bucket").sortWithinPartitions("late", "bucket", "context", "doc").mapInArrow(run, "doc long, key long, kind int")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "context", "doc").mapInArrow(run, "doc long, key long, kind int")
 
 
 def run_strings(sums: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,3 +257,23 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), spans.alias("removed"))
+
+
+OP4_SQL = """
+with d as (select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as rank, hex(encode(coalesce(text, ''))) as h from documents),
+tiles as (select r, rank, tile, substr(h, 512 * tile + 1, 610) as h from (select *, unnest(range((len(h) + 511) // 512)) as tile from d)),
+bytes as (select r, rank, h, 256 * tile + k as i, k from (select *, unnest(range(least(256, len(h) // 2))) as k from tiles)),
+strings as (select r, rank, i, md5_number(substr(h, 2 * k + 1, 100)) as g from bytes where 2 * k + 100 <= len(h)),
+first as (select g, min(rank) as first from strings group by g having min(rank) < max(rank)),
+later as (select r, i from strings join first using (g) where rank > first),
+covered as (
+  select r, i, substr(h, 2 * k + 1, 2) as byte, coalesce(max(later.i) over (partition by r order by i rows between 49 preceding and current row) is not null, false) as gone
+  from bytes left join later using (r, i)
+), marked as (select *, gone and not coalesce(lag(gone) over (partition by r order by i), false) as opens from covered),
+numbered as (select *, sum(opens::int) over (partition by r order by i) as run from marked),
+spans as (select r, run, min(i) as a, max(i) + 1 as b from numbered where gone group by r, run),
+listed as (select r, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(a || ':' || b, ',' order by a) as removed from spans group by r),
+kept as (select r, string_agg(byte, '' order by i) filter (where not gone) as kept from covered group by r)
+select doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256, coalesce(removed, '') as removed
+from d left join listed using (r) left join kept using (r)
+"""
