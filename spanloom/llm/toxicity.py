@@ -7,8 +7,9 @@ conditional likelihood. Forward-backward marginals then tag the tokens of every
 text; a document's score combines the marginals by a noisy or, and the offending spans
 are runs of tokens whose marginal is at least one half.
 
-Chains are segments of SEGMENT words, so that a batch is one matrix whatever its texts'
-lengths. The fit takes at most `max_rows` labelled rows, those of the smallest id digest.
+A text is one chain. It is computed in segments of SEGMENT words, side by side, which hand
+the state on to each other, so that a batch is one matrix whatever its texts' lengths. The
+fit takes at most `max_rows` labelled rows that have a text, those of the smallest id digest.
 
 Defined cases: null and empty texts have no tokens and score 0; documents without a
 label are only scored; without labels the scores are 0; repeated rows are each scored;
@@ -30,6 +31,8 @@ from spanloom.llm.shared import documents, held_out
 
 SEGMENT = 64
 MAX_ROWS = 3000
+#: Marginals under it are left out of a document's score: the many small ones of a long clean text are no evidence.
+FLOOR = 0.05
 SCHEMA = "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>"
 
 
@@ -59,34 +62,70 @@ def segments(first: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.nda
     return first[:-1][doc] + k * size, np.minimum(size, n[doc] - k * size), doc
 
 
-def forward_backward(score: np.ndarray, mask: np.ndarray, trans: np.ndarray):
-    """score: (chains, steps) log-odds of state 1. Node marginals of state 1, and expected transitions (2, 2)."""
-    n, t = score.shape
-    e = np.exp(np.clip(score, -30, 30))
-    psi = np.exp(trans)
-    a0, a1 = np.empty((t, n)), np.empty((t, n))
-    total = 1 + e[:, 0]
-    a0[0], a1[0] = 1 / total, e[:, 0] / total
-    for i in range(1, t):
-        x0 = a0[i - 1] * psi[0, 0] + a1[i - 1] * psi[1, 0]
-        x1 = (a0[i - 1] * psi[0, 1] + a1[i - 1] * psi[1, 1]) * e[:, i]
-        total = x0 + x1
-        a0[i], a1[i] = x0 / total, x1 / total
-    b0 = b1 = np.ones(n)
-    out, pairs = np.empty((n, t)), np.zeros((2, 2))
+def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Exact posteriors of state 1 of every word, and expected transitions (2, 2), of one chain a text.
+
+    score: log-odds of state 1 by word; first: each text's first word, and the end. Texts are laid out
+    as segments, so that a step is one operation on all of them whatever the texts' lengths; what
+    comes before and after a segment reaches it as its entering and leaving vectors.
+    """
+    n = len(score)
+    if not n:
+        return np.zeros(0), np.zeros((2, 2))
+    start, length, text = segments(first, size)
+    rows, mask = matrix(score, start, length, 0.0)
+    e, psi = np.exp(np.clip(rows, -30, 30)), np.exp(trans)
+    head = np.ones(len(start), bool)  # a text's first segment, whose first word has no transition
+    head[1:] = text[1:] != text[:-1]
+    # each segment's transfer, from the state before it to that of its last word
+    m = np.broadcast_to(np.eye(2)[:, :, None], (2, 2, len(start)))
+    for i in range(rows.shape[1]):
+        m = _step(m, e[:, i], psi, head if i == 0 else None, mask[:, i])
+    enter = np.ones((2, len(start)))
+    leave = np.ones((2, len(start)))
+    place = np.arange(len(start)) - np.maximum.accumulate(np.where(head, np.arange(len(start)), 0))
+    order = np.argsort(place, kind="stable")
+    groups = np.split(order, np.cumsum(np.bincount(place))[:-1])  # the texts' first segments, their second ones, ...
+    for own in groups[1:]:
+        y = enter[0, own - 1] * m[0][:, own - 1] + enter[1, own - 1] * m[1][:, own - 1]
+        enter[:, own] = y / y.sum(0)
+    for own in reversed(groups[1:]):
+        y = m[:, 0, own] * leave[0, own] + m[:, 1, own] * leave[1, own]
+        leave[:, own - 1] = y / y.sum(0)
+    t = rows.shape[1]
+    a = np.empty((t, 2, len(start)))
+    x = (enter / enter.sum(0))[None]
+    for i in range(t):
+        x = _step(x, e[:, i], psi, head if i == 0 else None, mask[:, i])
+        a[i] = x[0]
+    b0, b1 = leave
+    out, pairs = np.empty(rows.shape), np.zeros((2, 2))
     for i in range(t - 1, -1, -1):
-        x0, x1 = a0[i] * b0, a1[i] * b1
-        out[:, i] = x1 / (x0 + x1)
-        if i:
-            live = mask[:, i]
-            y1 = b1 * e[:, i]
-            joint = np.array([[a0[i - 1] * psi[0, 0] * b0, a0[i - 1] * psi[0, 1] * y1], [a1[i - 1] * psi[1, 0] * b0, a1[i - 1] * psi[1, 1] * y1]])
-            pairs += (joint / joint.sum((0, 1)))[:, :, live].sum(2)
-            c0 = b0 * psi[0, 0] + y1 * psi[0, 1]
-            c1 = b0 * psi[1, 0] + y1 * psi[1, 1]
-            total = c0 + c1
-            b0, b1 = np.where(live, c0 / total, 1.0), np.where(live, c1 / total, 1.0)
-    return out, pairs
+        live = mask[:, i]
+        x1 = a[i, 1] * b1
+        out[:, i] = x1 / (a[i, 0] * b0 + x1)
+        y1 = b1 * e[:, i]
+        before = a[i - 1] if i else enter
+        joint = np.array([[before[0] * psi[0, 0] * b0, before[0] * psi[0, 1] * y1], [before[1] * psi[1, 0] * b0, before[1] * psi[1, 1] * y1]])
+        counted = live if i else live & ~head
+        pairs += (joint / joint.sum((0, 1)))[:, :, counted].sum(2)
+        c0, c1 = b0 * psi[0, 0] + y1 * psi[0, 1], b0 * psi[1, 0] + y1 * psi[1, 1]
+        total = c0 + c1
+        b0, b1 = np.where(live, c0 / total, b0), np.where(live, c1 / total, b1)
+    return out[mask], pairs
+
+
+def _step(x: np.ndarray, e: np.ndarray, psi: np.ndarray, head: np.ndarray | None, live: np.ndarray) -> np.ndarray:
+    """Forward vectors (one or more, state, segments) after one more word, scaled to a sum of 1 a segment.
+
+    head: words without a transition. Where there is no live word nothing changes.
+    """
+    y = np.stack([x[:, 0] * psi[0, 0] + x[:, 1] * psi[1, 0], x[:, 0] * psi[0, 1] + x[:, 1] * psi[1, 1]], 1)
+    if head is not None:
+        y = np.where(head, x, y)
+    y[:, 1] *= e
+    y /= y.sum((0, 1))
+    return y if live.all() else np.where(live, y, x)
 
 
 def matrix(values: np.ndarray, start: np.ndarray, length: np.ndarray, fill: float):
@@ -125,23 +164,19 @@ def fit(texts: list[str | None], toxic: np.ndarray, least: int = 3, ratio: float
     chain = Chain(vocabulary[known], np.zeros(len(known)), np.zeros((2, 2)), -3.0)
     index = np.append(np.arange(len(known)), len(known))[np.searchsorted(known, word).clip(max=len(known) - 1)] if len(known) else word * 0
     index = np.where(len(known) and known[np.minimum(index, len(known) - 1)] == word, index, len(known))
-    start, length, _ = segments(first)
-    y, mask = matrix(label, start, length, 0.0)
-    ix = matrix(index, start, length, len(known))[0].astype(np.int64)
-    flat = ix[mask]
-    tokens = np.maximum(1.0, np.bincount(flat, minlength=len(known) + 1)[:-1])
-    gold_words = np.bincount(flat, weights=y[mask], minlength=len(known) + 1)
-    y0, y1 = y[:, :-1][mask[:, 1:]].astype(int), y[:, 1:][mask[:, 1:]].astype(int)
-    gold_pairs = np.bincount(y0 * 2 + y1, minlength=4).reshape(2, 2).astype(float)
-    gold_bias, n = y[mask].sum(), mask.sum()
+    tokens = np.maximum(1.0, np.bincount(index, minlength=len(known) + 1)[:-1])
+    gold_words = np.bincount(index, weights=label, minlength=len(known) + 1)
+    inner = np.flatnonzero(doc[1:] == doc[:-1])  # transitions inside a text
+    gold_pairs = np.bincount((label[inner] * 2 + label[inner + 1]).astype(int), minlength=4).reshape(2, 2).astype(float)
+    gold_bias = label.sum()
     for _ in range(steps):
-        p, pairs = forward_backward(np.where(mask, chain.emissions(ix), -30.0), mask, chain.trans)
-        expected = np.bincount(flat, weights=p[mask], minlength=len(known) + 1)
+        p, pairs = marginals(chain.emissions(index), first, chain.trans)
+        expected = np.bincount(index, weights=p, minlength=len(known) + 1)
         # each weight moves by its own mean gradient, so that rare words learn as fast as common ones
         chain.weights += rate * 2 * ((gold_words - expected)[:-1] / np.sqrt(tokens) - l2 * chain.weights)
         chain.trans += rate * (gold_pairs - pairs) / np.maximum(1.0, gold_pairs + pairs)
         chain.trans -= chain.trans[0, 0]
-        chain.bias += rate * 4 * (gold_bias - p[mask].sum()) / np.maximum(1.0, gold_bias + p[mask].sum()) * 0.25
+        chain.bias += rate * (gold_bias - p.sum()) / np.maximum(1.0, gold_bias + p.sum())
         np.clip(chain.weights, -12, 12, out=chain.weights)
         np.clip(chain.trans, -4, 4, out=chain.trans)
         chain.bias = float(np.clip(chain.bias, -12, 0))
@@ -152,33 +187,16 @@ def fit(texts: list[str | None], toxic: np.ndarray, least: int = 3, ratio: float
 def tag(chain: Chain, data: np.ndarray, off: np.ndarray):
     """Marginals of all words of the texts in a buffer, with word starts, ends and first words."""
     h, s, e, first = textbuf.hashed_words(data, off, textbuf.NOT_WORD)
-    out = np.zeros(len(h))
-    if len(h):
-        score = chain.emissions(chain.index(h))
-        start, length, _ = segments(first)
-        rows, mask = matrix(score, start, length, -30.0)
-        # a segment whose every score is the unknown word's is tagged once for its length
-        plain = ((rows == chain.bias) | ~mask).all(1)
-        need = np.flatnonzero(~plain)
-        if plain.any():
-            need = np.append(need, [np.flatnonzero(plain & (length == n))[0] for n in np.unique(length[plain])]).astype(np.int64)
-        p, _ = forward_backward(rows[need], mask[need], chain.trans)
-        place = (start[need, None] + np.arange(p.shape[1]))[mask[need]]
-        for n in np.unique(length[plain]) if plain.any() else ():
-            own = plain & (length == n)
-            k = int(np.flatnonzero(need == np.flatnonzero(own)[0])[0])
-            out[(start[own, None] + np.arange(n)).ravel()] = np.tile(p[k, :n], int(own.sum()))
-        out[place] = p[mask[need]]
-    return out, s, e, first
-
-
-def scored(chain: Chain, column: pa.Array, spans: bool) -> tuple[list[float], list[list[dict]]]:
-    """Noisy-or scores over tokens of marginal 0.05 or more, and spans in code points."""
+    return marginals(chain.emissions(chain.index(h)), first, chain.trans)[0], s, e, first
+
+
+def scored(chain: Chain, column: pa.Array, spans: bool, floor: float = FLOOR) -> tuple[list[float], list[list[dict]]]:
+    """Noisy-or scores over tokens of marginal `floor` or more, and spans in code points."""
     data, off = textbuf.buffer(column)
     scores, found = [], []
     for _, _, part, at in textbuf.slabs(data, off):
         p, s, e, first = tag(chain, part, at)
-        rest = np.concatenate(([0.0], np.cumsum(np.log1p(-np.minimum(np.where(p >= 0.05, p, 0.0), 1 - 1e-9)))))
+        rest = np.concatenate(([0.0], np.cumsum(np.log1p(-np.minimum(np.where(p >= floor, p, 0.0), 1 - 1e-9)))))
         scores += (1 - np.exp(rest[first[1:]] - rest[first[:-1]])).tolist()
         if spans:
             lead = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
@@ -218,9 +236,10 @@ def filter_documents(docs: DataFrame, chain: Chain, threshold: float) -> DataFra
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> pd.DataFrame:
     """At most max_rows labelled rows outside the held-out fold, the smallest by a digest of the id."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    return rows.toPandas().sort_values(["doc_id", "label", "text"], na_position="first")
+    order = [F.xxhash64("doc_id"), "doc_id", "label"]
+    chosen = own.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "text", "label")
+    return rows.orderBy(*order, "text").limit(max_rows).toPandas()  # ids may repeat on both sides
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain:
