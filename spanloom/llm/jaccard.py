@@ -1,8 +1,8 @@
 """N-gram Jaccard join (operator 1).
 
 Texts become sets of distinct five-word shingles, and equal sets one node. Shingles are
-ordered rare first by a fixed-size count sketch over all documents (any common order is
-right; a rare-first one makes short posting lists). Nodes meet on the shingles of their
+ordered rare first by a count sketch over all documents, whose size follows the input up to
+a bound (any common order is right; a rare-first one makes short posting lists). Nodes meet on the shingles of their
 prefixes; the length, positional and suffix filters drop what can't reach the
 similarity; what is left is verified once on the whole sets.
 
@@ -31,7 +31,8 @@ from spanloom.llm import textbuf
 from spanloom.llm.components import components
 from spanloom.llm.shared import SLICE, Workspace, documents, merged_array
 
-SKETCH = 1 << 18
+#: Least and most counters of the count sketch; between them one for SHARE bytes of input.
+SKETCH, MOST, SHARE = 1 << 18, 1 << 22, 1 << 10
 BLOOM = 1 << 22
 LEADERS = 8
 _ONE = np.uint64(1)
@@ -71,11 +72,19 @@ def parity_bound(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def summarise(docs: DataFrame, k: int) -> DataFrame:
+def sketch_size(docs: DataFrame) -> int:
+    """A power of two from the planner's estimate of the input's bytes; it bears on speed only."""
+    size, want = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), SKETCH
+    while want < MOST and want * SHARE < size:
+        want *= 2
+    return want
+
+
+def summarise(docs: DataFrame, k: int, size: int = SKETCH) -> DataFrame:
     """(doc_id, n, node) of each row, and each task's counts by shingle bucket as (slice, part) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(size, np.int32)
         names = ["doc_id", "n", "node", "parity", "slice", "part"]
         for batch in batches:
             n, nodes, marks = [], [], []
@@ -83,10 +92,10 @@ def summarise(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(x))
                 nodes.append(node_of(x) if len(x) else None)
                 marks.append(parity(x))
-                np.add.at(counts, (x & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(counts, (x & np.uint64(size - 1)).astype(np.int64), 1)
             rows = len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        used = [i for i in range(SKETCH // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
+        used = [i for i in range(size // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
         parts = [counts[i * SLICE : (i + 1) * SLICE].tobytes() for i in used]
         empty = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names)
@@ -106,13 +115,13 @@ def with_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", node long")
 
 
-def merged_counts(parts: DataFrame) -> np.ndarray:
+def merged_counts(parts: DataFrame, size: int = SKETCH) -> np.ndarray:
     def fill(batches: Iterator[pa.RecordBatch], into: np.ndarray) -> None:
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                into[i * SLICE : (i + 1) * SLICE] += np.frombuffer(raw, np.int64)
+                into[i * SLICE : (i + 1) * SLICE] += np.frombuffer(raw, np.int32)
 
-    return merged_array(parts, fill, SKETCH, "int64")
+    return merged_array(parts, fill, size, "int64")
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -133,7 +142,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataF
                 if len(seen) < 1_000_000:
                     seen.add(node)
                 p = n - needed(n, percent) + 1
-                rank = np.argsort(order[(x & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:p]
+                rank = np.argsort(order[(x & np.uint64(len(order) - 1)).astype(np.int64)], kind="stable")[:p]
                 tokens.append(x[rank])
                 nodes.append(node)
                 sizes.append(n)
@@ -193,58 +202,99 @@ def may_link(n1: int, p1: int, n2: int, p2: int, percent: int) -> bool:
     return 1 + min(n1 - p1 - 1, n2 - p2 - 1) >= least
 
 
-def met_pairs(blocks: DataFrame, percent: int, star: bool) -> DataFrame:
-    """(a, b, c) pairs that meet in `token, node, n, pos, comp` blocks and lie in different components; c: how often.
+def met_with_leaders(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b, c) pairs that meet with a leader of a `token, node, n, pos` block; c: how often.
 
-    star: only with the block's leaders. The first is the node in which the token stands first: the one
-    with the fewest tokens of its own, as the original of a group of near copies is. A node that no leader
-    may link with becomes one, up to LEADERS.
+    The first leader is the node in which the token stands first: the one with the fewest tokens of its
+    own, as the original of a group of near copies is. A node that no leader may link with becomes one,
+    up to LEADERS. Rows come in that order, so no block is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, block, pairs = None, [], Counter()
-
-        def met() -> Iterator[tuple[int, int]]:
-            if star:
-                leads: list = []
-                for row in sorted(block, key=lambda x: (x[2], x[1], x[0])):
-                    lead = next((x for x in leads if x[3] != row[3] and may_link(x[1], x[2], row[1], row[2], percent)), None)
-                    if lead is not None:
-                        yield lead[0], row[0]
-                    elif len(leads) < LEADERS:
-                        leads.append(row)
-                return
-            first = 0
-            for i, row in enumerate(block):
-                while 100 * block[first][1] < percent * row[1]:
-                    first += 1
-                for other in block[first:i]:
-                    if other[3] != row[3] and may_link(other[1], other[2], row[1], row[2], percent):
-                        yield min(other[0], row[0]), max(other[0], row[0])
-
-        def out() -> pa.RecordBatch:
-            rows = [(*k, c) for k, c in pairs.items()]
-            pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "c"])
-
+        token, leads, pairs = None, [], Counter()
         for batch in batches:
-            for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for t, node, n, pos in zip(*(c.to_pylist() for c in batch.columns)):
                 if t != token:
-                    pairs.update(met())
-                    token, block = t, []
-                    if len(pairs) > 200_000:
-                        yield out()
-                block.append(row)
-        for pair in met():
-            pairs[pair] += 1
+                    token, leads = t, []
+                lead = next((x for x in leads if may_link(x[1], x[2], n, pos, percent)), None)
+                if lead is not None:
+                    pairs[lead[0], node] += 1
+                elif len(leads) < LEADERS:
+                    leads.append((node, n, pos))
             if len(pairs) > 200_000:
-                yield out()
-        yield out()
+                yield pair_rows(pairs)
+        yield pair_rows(pairs)
 
-    dealt = blocks.select("token", "node", "n", "pos", "comp").repartition("token").sortWithinPartitions("token", "n", "node")
+    dealt = blocks.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "pos", "n", "node")
     return dealt.mapInArrow(run, "a long, b long, c long")
 
 
+def pair_rows(pairs: Counter) -> pa.RecordBatch:
+    """The counted pairs, which are let go."""
+    rows = [(*k, c) for k, c in pairs.items()]
+    pairs.clear()
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "c"])
+
+
+def crossing(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of a block's pairs in different components that the length and positional filters let pass; n ascends."""
+    if (comp == comp[0]).all():
+        return
+    first = np.searchsorted(100 * n, percent * n)  # of the nodes that are long enough for each
+    for i in range(1, len(node)):
+        j = np.arange(first[i], i)
+        j = j[comp[j] != comp[i]]
+        if len(j):
+            least = -(-percent * (n[j] + n[i]) // (100 + percent))
+            j = j[1 + np.minimum(n[j] - pos[j] - 1, n[i] - pos[i] - 1) >= least]
+            if len(j):
+                yield np.minimum(node[j], node[i]), np.maximum(node[j], node[i])
+
+
+def met_across(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs, maybe repeated, that meet in `token, node, n, pos, comp` blocks and lie in different components.
+
+    Tokens of a single component, as a group of near copies mostly has, are left out before any pair
+    is formed. A block is held as arrays, 32 bytes a node.
+    """
+    several = blocks.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+
+        def out(found: list) -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*found)) if found else held[:2]
+            both = np.unique(np.stack([a, b], 1), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        def judged(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            edges = np.flatnonzero(np.diff(cols[0])) + 1
+            found, size = [], 0
+            for x in zip(*(np.split(c, edges) for c in cols[1:])):
+                for pair in crossing(*x, percent):
+                    found.append(pair)
+                    size += len(pair[0])
+                    if size > 500_000:
+                        yield out(found)
+                        found, size = [], 0
+            if found:
+                yield out(found)
+
+        for batch in batches:
+            cols = [np.concatenate((h, c.to_numpy(zero_copy_only=False).astype(np.int64))) for h, c in zip(held, batch.columns)]
+            if not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last token may go on
+            held = [c[last:] for c in cols]
+            if last:
+                yield from judged([c[:last] for c in cols])
+        if len(held[0]):
+            yield from judged(held)
+
+    dealt = blocks.join(several, "token", "left_semi").select("token", "node", "n", "pos", "comp").repartition("token").sortWithinPartitions("token", "n", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, tokens) of the nodes in `wanted` (node, doc_id): by a Bloom filter of fixed size, then exactly."""
 
@@ -321,17 +371,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def labelled(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return blocks.withColumn("comp", F.col("node"))
+def labelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return blocks.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, node, comp (the smallest node reachable), component_id (the smallest doc_id)."""
     ws = Workspace(docs.sparkSession)
-    summary = ws.table(summarise(docs, k), "summary")
-    counts = merged_counts(summary.where("part is not null").select("slice", "part"))
+    size = sketch_size(docs.select("text"))
+    summary = ws.table(summarise(docs, k, size), "summary")
+    counts = merged_counts(summary.where("part is not null").select("slice", "part"), size)
     rows = summary.where("part is null").select("doc_id", "n", "node")
     blocks = ws.table(shared_tokens(prefixes(docs, counts, k, percent)), "blocks")
     ws.free()
@@ -345,12 +394,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         ws.free()
         return out
 
-    met = met_pairs(labelled(blocks, None), percent, star=True).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    met = met_with_leaders(blocks, percent).groupBy("a", "b").agg(F.sum("c").alias("c"))
     near = met.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m"))
     tried = ws.table(near.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct(), "star")
     edges = links(tried)
     labels = components(ws, edges)
-    rest = met_pairs(labelled(blocks, labels), percent, star=False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = met_across(labelled(blocks, labels), percent).distinct().join(tried, ["a", "b"], "left_anti")
     labels = components(ws, edges.unionByName(links(rest)))
     ws.drop(blocks, marks)
     ws.free()

@@ -125,7 +125,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: in
     page_rows = keyed.select("key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
     rule_rows = (
         rules.where("host is not null and path is not null and verdict is not null and host <> ''")
-        .select(host_key(F.lower("host")).alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
+        .select(host_key(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
         .distinct()
     )
     dealt = page_rows.mapInArrow(deal(False), schema).unionByName(rule_rows.mapInArrow(deal(True), schema))
