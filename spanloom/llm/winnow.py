@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.llm.shared import documents
+from spanloom.llm.shared import Workspace, documents
 
 _POSITION = (1 << 30) - 1
 
@@ -80,28 +80,19 @@ def shown(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda s: F.concat_ws(":", F.hex(s["hash"]), s["position"])), ",")
 
 
-def next_ids(ids: DataFrame, shift: int = 10, levels: int = 3) -> DataFrame:
+def next_ids(ids: DataFrame) -> DataFrame:
     """(doc_id, next_id) of distinct ids in ascending order, the last followed by the first.
 
-    Ids follow each other within blocks of 2^shift values; only a block's last id looks for the
-    next block's first, by the same rule on the (far fewer) blocks. The top level is one window.
+    The ids are dealt to ranges of equal size, whatever their values, and written with their range;
+    only a range's last id looks for the first of the next range, one row a range.
     """
-
-    def follow(keys: DataFrame, level: int) -> DataFrame:
-        """keys: distinct `key`; adds `after`, null for the largest."""
-        if level == 0:
-            return keys.withColumn("after", F.lead("key").over(Window.orderBy("key")))
-        block = keys.withColumn("block", F.shiftright("key", shift))
-        own = block.withColumn("after", F.lead("key").over(Window.partitionBy("block").orderBy("key")))
-        firsts = block.groupBy("block").agg(F.min("key").alias("first"))
-        order = follow(firsts.select(F.col("block").alias("key")), level - 1)
-        links = order.join(firsts.select(F.col("block").alias("after"), "first"), "after").select(F.col("key").alias("block"), F.col("first").alias("block_after"))
-        return own.join(links, "block", "left").select("key", F.coalesce("after", "block_after").alias("after"))
-
     keys = ids.where("doc_id is not null").select(F.col("doc_id").alias("key")).distinct()
-    out = follow(keys, levels)
-    smallest = keys.agg(F.min("key")).first()[0]
-    return out.select(F.col("key").alias("doc_id"), F.coalesce("after", F.lit(smallest).cast("long")).alias("next_id"))
+    keys = Workspace(ids.sparkSession).table(keys.repartitionByRange("key").select("key", F.spark_partition_id().alias("part")), "ids")
+    own = keys.withColumn("after", F.lead("key").over(Window.partitionBy("part").orderBy("key")))
+    firsts = keys.groupBy("part").agg(F.min("key").alias("first"))
+    order = Window.orderBy("part")
+    firsts = firsts.select("part", F.lead("first").over(order).alias("further"), F.min("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("smallest"))
+    return own.join(firsts, "part").select(F.col("key").alias("doc_id"), F.coalesce("after", "further", "smallest").alias("next_id"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
