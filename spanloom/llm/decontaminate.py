@@ -15,6 +15,7 @@ import hashlib
 import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from spanloom.llm.shared import documents
 
 _TABLE = bytes(0x20 if textbuf.NOT_WORD[b] else b for b in textbuf.LOWER.tolist())
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-SCHEMA = "doc_id long, row long, n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
+SCHEMA = "doc_id long, row binary, n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
 _automata: dict[bytes, object] = {}
 
 
@@ -58,14 +59,12 @@ def shards(benchmark: DataFrame, width: int, max_windows: int) -> Iterator[tuple
     names: dict[str, int] = {}
     found: dict[bytes, dict[int, None]] = {}
     for item_id, text in benchmark.toLocalIterator():
-        own = windows(text, width)
-        if own and found and len(found) + len(own) > max_windows:
-            yield list(names), [(k, tuple(v)) for k, v in found.items()]
-            names, found = {}, {}
-        if own:
-            item = names.setdefault("" if item_id is None else str(item_id), len(names))
-            for x in own:
-                found.setdefault(x, {})[item] = None
+        name = "" if item_id is None else str(item_id)
+        for x in windows(text, width):  # a long item's windows may be in several shards, under its one name
+            if len(found) >= max_windows and x not in found:
+                yield list(names), [(k, tuple(v)) for k, v in found.items()]
+                names, found = {}, {}
+            found.setdefault(x, {})[names.setdefault(name, len(names))] = None
     yield list(names), [(k, tuple(v)) for k, v in found.items()]
 
 
@@ -76,14 +75,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, max_windows:
     scanned in as many shards as it needs, each against all documents, and the shards' spans are merged.
     """
     spark, out, count = docs.sparkSession, None, 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    for names, patterns in shards(benchmark.select("item_id", "text"), width, max_windows):
+    parts = shards(benchmark.select("item_id", "text"), width, max_windows)
+    ahead = list(islice(parts, 2))
+    row = F.unhex(F.sha2("text", 256)) if len(ahead) > 1 else F.lit(None).cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
+    for names, patterns in chain(ahead, parts):
         shared = spark.sparkContext.broadcast((names, patterns))
         part = rows.mapInArrow(scanner(shared), SCHEMA)
         out, count = part if out is None else out.unionByName(part), count + 1
     if count > 1:
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        out = out.withColumn("items", F.array_distinct("items"))
+        # shards meet by id and text, whatever their scans' tasks are; rows alike in both are judged once and each returned
+        out = out.groupBy(F.col("doc_id").alias("of_id"), F.col("row").alias("of_row")).agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        out = rows.select("doc_id", "row").join(out, F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("row").eqNullSafe(F.col("of_row")))
     return out.select("doc_id", "n_words", "spans", "items")
 
 
