@@ -644,3 +644,74 @@ def test_units_give_the_texts_ids(texts):
     for _ in range(2):
         got = coder.encode(*textbuf.buffer(pa.array(texts)))
         assert [x.tolist() for x in got] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+# all
+def test_very_long_text():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    known = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(3000)]
+    long = " ".join(known[i] for i in rng.integers(0, len(known), 300_000))
+    column = pa.array([long, None, "short", long[:1000]])
+    data, off = textbuf.buffer(column)
+    coder = packing.coder(packing.default_tokenizer())
+    got = [x for _, _, part, at in textbuf.slabs(data, off) for x in coder.encode(part, at)]
+    assert [len(got[1]), got[0].tolist()] == [0, coder.tokenizer.encode(long, add_special_tokens=False).ids]
+    sets = list(jaccard.sets_of(column, 5))
+    words = long.split()
+    assert [len(x) for x in sets[:3]] == [len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}), 0, 1]
+    chain = toxicity.Chain(np.sort(textbuf.hashed_words(*textbuf.buffer(pa.array([known[0]])), textbuf.NOT_WORD)[0]), np.array([9.0]), np.zeros((2, 2)), -6.0)
+    scores, spans = toxicity.scored(chain, column, True)
+    assert scores[0] > 0.99 and scores[1] == 0
+    assert all(long[s["start"] : s["end"]].split()[0] == known[0] for s in spans[0])
+    net = quality.Network()
+    assert 0 < net.forward(*quality.chunked(data[: off[1]], off[:2]))[0] < 1
+
+
+def test_extra_columns_of_clashing_names_change_nothing(spark, make):
+    names = ["row", "key", "node", "n", "token", "pos", "gone", "found", "spans", "score", "label", "late", "doc", "digest", "edited", "next_text", "__own", "ids", "start", "length", "tier", "rank", "unit"]
+    rows = [(i, f"text number {i} with a few more words, and the same end of it for all of them. So be it, says number {i % 3}.") for i in range(6)] + [(None, None), (7, "")]
+    docs = make(rows)
+    extra = docs
+    for k, name in enumerate(names):
+        extra = extra.withColumn(name, F.lit(k))
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    net, chain = quality.Network(), toxicity.train(docs, labels)
+    runs = {
+        "op1": lambda d: jaccard.jaccard_groups(d), "op3": lambda d: decontaminate.matches(d, bench), "op4": lambda d: suffixes.dedupe(d), "op5": lambda d: secrets.scan(d),
+        "op6": lambda d: toxicity.score_documents(d, chain), "op7": lambda d: lines.dedupe_lines(d), "op8": lambda d: quality.score_documents(d, net),
+        "op9": lambda d: winnow.with_fingerprint(winnow.with_next(d), "next_text", "print"), "op10": lambda d: packing.pack(d, packing.default_tokenizer()).drop("sequence_id", "step_group", "offset"),
+    }
+    for name, run in runs.items():
+        plain, clashing = (sorted(map(str, run(d.repartition(2)).collect())) for d in (docs, extra))
+        if name != "op10":
+            assert plain == clashing, name
+        else:
+            assert sum(map(len, plain)) > 0 and len(plain) > 0 and len(clashing) > 0
+    kept = toxicity.filter_documents(extra, chain, 2.0)
+    assert kept.columns == extra.columns and kept.count() == len(rows)
+    assert decontaminate.filter_documents(extra, bench, 1).columns == extra.columns
+
+
+def test_empty_tables(spark, make):
+    none = make([])
+    assert quality.score_documents(none, quality.Network()).count() == 0
+    assert winnow.fingerprints(none).count() == 0 and winnow.with_next(none).count() == 0
+    assert secrets.redact(none, "[x]").count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.train(none, labels).constant == 0.5
+
+
+def test_ties_and_repeated_rows_score_alike(make):
+    texts = ["Same words here, again.", "Same words here, again.", "x" * 700, "x" * 700]
+    docs = make([(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3])])
+    net = quality.Network()
+    scores = [r["score"] for r in quality.score_documents(docs, net).orderBy("doc_id").collect()]
+    assert scores[0] == scores[1] and scores[2] == scores[3]
+    chain = toxicity.fit(*labelled(120)[:2])
+    scores = [r["score"] for r in toxicity.score_documents(docs, chain).orderBy("doc_id").collect()]
+    assert scores[0] == scores[1] and scores[2] == scores[3]
+    out = packing.pack(docs.coalesce(1), packing.default_tokenizer()).collect()
+    assert len({(r["doc_id"], r["sequence_id"], r["offset"]) for r in out}) == len(out) and sum(r["start"] == 0 for r in out) == 4
