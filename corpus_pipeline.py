@@ -3,7 +3,7 @@
 toxicity: documents that the chain scores 0.5 or more go. near_duplicates: of each group
 linked by the n-gram Jaccard join the document of the smallest id stays (of its rows with
 that id, the smallest text). benchmark: documents with windows of two benchmark items or more
-go. secrets: spans of live-looking values are replaced by a mark. packing: what is left
+go. secrets: spans of live-looking values (few owners and repositories) are replaced by a mark. packing: what is left
 becomes token sequences.
 
 All but the last stage return the columns of `documents`; a stage on an empty table returns
