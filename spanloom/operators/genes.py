@@ -23,6 +23,8 @@ class Genes:
     def __init__(self, genes: DataFrame, transcripts: DataFrame, features: DataFrame, promoter_r: int = 1000, filename: str | None = None, unmapped: DataFrame | None = None):
         self.genes, self.transcripts, self.features = genes, transcripts, features
         self.promoter_r, self.filename, self.unmapped = promoter_r, filename, unmapped
+        self.rows: DataFrame | None = None
+        self._sets: dict[str, DataFrame] = {}
 
     @classmethod
     def make(cls, spark: SparkSession, filename: str, gene_name_key: str = "gene_name", gene_type_key: str = "gene_type", chr_map: dict[str, str] | None = None, promoter_r: int = 1000, zero_based: bool = False) -> "Genes":
@@ -57,7 +59,10 @@ class Genes:
         return out
 
     def release(self) -> None:
-        self.rows.unpersist()
+        """Lets go of what is kept of the model: its parsed rows and its merged annotation sets."""
+        for kept in (*self._sets.values(), *([self.rows] if self.rows is not None else [])):
+            kept.unpersist()
+        self._sets.clear()
 
     def __repr__(self) -> str:
         return f"Genes(filename={self.filename})"
@@ -91,7 +96,12 @@ class Genes:
         return Loci(self.tss(key=key).drop("name")).slop(self.promoter_r)
 
     def annotation_sets(self, key: str = "gene_name") -> DataFrame:
-        """(class, priority, chrom, start, end): bodies as they are, the other four sets merged."""
+        """(class, priority, chrom, start, end): bodies as they are, the other four sets merged. Kept, as a join reads them several times."""
+        if key not in self._sets:
+            self._sets[key] = self._annotation_sets(key).persist()
+        return self._sets[key]
+
+    def _annotation_sets(self, key: str) -> DataFrame:
         locus = ["chrom", "start", "end", "strand", "ord"]
         kind = F.when(F.col("feature") == "exon", 3).when(F.col("utr_type") == "5'", 1).when(F.col("utr_type") == "3'", 2)
         parts = self.features.select(kind.alias("priority"), *locus).where("priority is not null")

@@ -2,12 +2,14 @@
 
 Distance is 0 for an overlap, else the gap plus one (1 for bookended loci). Ties go to
 the smallest (distance, start, end, ord) of the other side. Queries on chromosomes that
-the other side lacks disappear. The runs are tiled, with one carried row a tile.
+the other side lacks disappear. Ends of both sides are one table of events, dealt out once
+by tile; a running maximum over it gives the last end before a query, a running minimum
+from behind the first start after it, and one carried row a tile what other tiles have.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,41 +18,48 @@ from spanloom.operators.overlap import LEVELS, overlap_pairs
 TILE = 22
 
 
-def _running(rows: DataFrame, value: str, pick, ascending: bool, tile: int) -> DataFrame:
-    """The best `value` at or before each row in order of (chrom, at, kind), by tiles."""
-    side = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    rows = rows.withColumn("tile", F.shiftright("at", tile))
-    inside = Window.partitionBy("chrom", "tile").orderBy(side("at"), F.col("kind").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("chrom").orderBy(side("tile")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy("chrom", "tile").agg(pick(F.col(value)).alias("v")).select("chrom", "tile", pick(F.col("v")).over(before).alias("carried"))
-    own = rows.withColumn("best", pick(F.col(value)).over(inside)).join(carried, ["chrom", "tile"])
-    both = F.array("best", "carried")
-    best = F.array_max(both) if pick is F.max else F.array_min(both)
-    return own.withColumn("best", F.when(F.col("best").isNull(), F.col("carried")).when(F.col("carried").isNull(), F.col("best")).otherwise(best))
+_BEFORE, _AFTER = "struct<e:bigint,s:bigint,ord:bigint,strand:string>", "struct<s:bigint,e:bigint,ord:bigint,strand:string>"
+
+
+def _events(coords: DataFrame, other: DataFrame) -> DataFrame:
+    """(chrom, at, kind, before, after, start, end): each interval's two ends; kind 0 is the other side's, 1 a query's start, 2 its end."""
+    none = lambda t: F.lit(None).cast(t)
+
+    def event(at: str, kind: int, before: Column, after: Column, start: Column, end: Column) -> Column:
+        return F.struct(F.col(at).alias("at"), F.lit(kind).alias("kind"), before.alias("before"), after.alias("after"), start.alias("start"), end.alias("end"))
+
+    nil = none("bigint")
+    first = F.struct(F.col("end").alias("e"), (-F.col("start")).alias("s"), "ord", "strand").cast(_BEFORE)
+    last = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), "ord", "strand").cast(_AFTER)
+    there = other.select("chrom", F.explode(F.array(event("end", 0, first, none(_AFTER), nil, nil), event("start", 0, none(_BEFORE), last, nil, nil))).alias("x"))
+    asked = [event(at, kind, none(_BEFORE), none(_AFTER), F.col("start"), F.col("end")) for at, kind in (("start", 1), ("end", 2))]
+    return there.unionByName(coords.select("chrom", F.explode(F.array(*asked)).alias("x"))).select("chrom", "x.*")
+
+
+def _beside(coords: DataFrame, other: DataFrame, tile: int) -> DataFrame:
+    """(chrom, start, end, c): the nearest of the other side before each query, and after it."""
+    rows = _events(coords, other).withColumn("tile", F.shiftright("at", tile))
+    inside = Window.partitionBy("chrom", "tile").rowsBetween(Window.unboundedPreceding, 0)
+    tiles = Window.partitionBy("chrom").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("chrom", "tile").agg(F.max("before").alias("b"), F.min("after").alias("a"))
+    carried = carried.select("chrom", "tile", F.max("b").over(tiles.orderBy("tile")).alias("from_before"), F.min("a").over(tiles.orderBy(F.desc("tile"))).alias("from_after"))
+    # at one base the other side's ends come before the queries' in both directions
+    best = rows.withColumn("b", F.max("before").over(inside.orderBy(F.asc("at"), F.asc("kind")))).withColumn("a", F.min("after").over(inside.orderBy(F.desc("at"), F.asc("kind"))))
+    best = best.where("kind > 0").join(carried, ["chrom", "tile"])
+    b, a = F.array_max(F.array("b", "from_before")), F.array_min(F.array("a", "from_after"))
+    best = best.select("chrom", "start", "end", F.when(F.col("kind") == 1, b).alias("b"), F.when(F.col("kind") == 2, a).alias("a"))
+    left = F.struct((F.col("start") - F.col("b.e") + 1).alias("distance"), (-F.col("b.s")).alias("start"), F.col("b.e").alias("end"), F.col("b.ord").alias("ord"), F.col("b.strand").alias("strand"))
+    right = F.struct((F.col("a.s") - F.col("end") + 1).alias("distance"), F.col("a.s").alias("start"), F.col("a.e").alias("end"), F.col("a.ord").alias("ord"), F.col("a.strand").alias("strand"))
+    return best.where("a is not null or b is not null").select("chrom", "start", "end", F.when(F.col("b").isNotNull(), left).otherwise(right).alias("c"))
 
 
 def nearest(a: DataFrame, b: DataFrame, levels: tuple[int, ...] = LEVELS, tile: int = TILE) -> DataFrame:
     """One row a query: chrom, start, end, strand, ord, then b_start, b_end, b_strand, b_ord, distance."""
-    coords = a.select("chrom", "start", "end").distinct()
-    other = b.select("chrom", "start", "end").distinct()
-    found = overlap_pairs(coords, other, levels).select(F.col("a_chrom").alias("chrom"), F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.struct(F.lit(0).cast("long").alias("distance"), F.col("b_start").alias("start"), F.col("b_end").alias("end")).alias("c"))
-
-    none = F.lit(None)
-    # before: of the ends at or before the query's start the last, and of those the smallest start
-    key = F.struct(F.col("end").alias("e"), (-F.col("start")).alias("s"))
-    rows = other.select("chrom", F.col("end").alias("at"), F.lit(0).alias("kind"), key.alias("v"), none.cast("long").alias("start"), none.cast("long").alias("end"))
-    asked = coords.select("chrom", F.col("start").alias("at"), F.lit(1).alias("kind"), none.cast("struct<e:bigint,s:bigint>").alias("v"), "start", "end")
-    left = _running(rows.unionByName(asked), "v", F.max, True, tile).where("kind = 1 and best is not null")
-    left = left.select("chrom", "start", "end", F.struct((F.col("start") - F.col("best.e") + 1).alias("distance"), (-F.col("best.s")).alias("start"), F.col("best.e").alias("end")).alias("c"))
-    # after: of the starts at or after the query's end the first, and of those the smallest end
-    key = F.struct(F.col("start").alias("s"), F.col("end").alias("e"))
-    rows = other.select("chrom", F.col("start").alias("at"), F.lit(0).alias("kind"), key.alias("v"), none.cast("long").alias("start"), none.cast("long").alias("end"))
-    asked = coords.select("chrom", F.col("end").alias("at"), F.lit(1).alias("kind"), none.cast("struct<s:bigint,e:bigint>").alias("v"), "start", "end")
-    right = _running(rows.unionByName(asked), "v", F.min, False, tile).where("kind = 1 and best is not null")
-    right = right.select("chrom", "start", "end", F.struct((F.col("best.s") - F.col("end") + 1).alias("distance"), F.col("best.s").alias("start"), F.col("best.e").alias("end")).alias("c"))
-
-    best = found.unionByName(left).unionByName(right).groupBy("chrom", "start", "end").agg(F.min("c").alias("c"))
-    named = b.groupBy("chrom", F.col("start").alias("b_start"), F.col("end").alias("b_end")).agg(F.min(F.struct("ord", "strand")).alias("b"))
-    best = best.select("chrom", "start", "end", F.col("c.start").alias("b_start"), F.col("c.end").alias("b_end"), F.col("c.distance").alias("distance"))
-    best = best.join(named, ["chrom", "b_start", "b_end"]).select("chrom", "start", "end", "b_start", "b_end", F.col("b.strand").alias("b_strand"), F.col("b.ord").alias("b_ord"), "distance")
+    valid = "chrom is not null and start is not null and end is not null"
+    coords = a.where(valid).select("chrom", "start", "end").distinct()
+    other = b.where(valid).groupBy("chrom", "start", "end").agg(F.min(F.struct("ord", "strand")).alias("o")).select("chrom", "start", "end", "o.ord", "o.strand")
+    hit = F.struct(F.lit(0).cast("long").alias("distance"), F.col("b_start").alias("start"), F.col("b_end").alias("end"), F.col("b_ord").alias("ord"), F.col("b_strand").alias("strand"))
+    found = overlap_pairs(coords, other, levels).select(F.col("a_chrom").alias("chrom"), F.col("a_start").alias("start"), F.col("a_end").alias("end"), hit.alias("c"))
+    best = found.unionByName(_beside(coords, other, tile)).groupBy("chrom", "start", "end").agg(F.min("c").alias("c"))
+    best = best.select("chrom", "start", "end", F.col("c.start").alias("b_start"), F.col("c.end").alias("b_end"), F.col("c.strand").alias("b_strand"), F.col("c.ord").alias("b_ord"), F.col("c.distance").alias("distance"))
     return a.join(best, ["chrom", "start", "end"]).select(*a.columns, "b_start", "b_end", "b_strand", "b_ord", "distance")

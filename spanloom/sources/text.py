@@ -124,10 +124,14 @@ def parse_records(raw: DataFrame) -> DataFrame:
 
 
 def parse_fasta(lines: DataFrame) -> DataFrame:
-    """From (value, ord) lines: record numbers are a running count of heads."""
-    # one window: for line sources that have no record separator and are small; files go by read_fasta
+    """From (value, ord) lines: record numbers are a running count of heads, within blocks of 65,536 positions,
+    after those of the blocks before (one row a block)."""
     head = F.col("value").startswith(">")
-    rows = lines.withColumn("record", F.sum(head.cast("int")).over(Window.orderBy("ord")))
+    rows = lines.withColumn("block", F.shiftright("ord", 16)).withColumn("head", head.cast("int"))
+    before = F.sum("heads").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy("block").agg(F.sum("head").alias("heads")).select("block", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("head").over(Window.partitionBy("block").orderBy("ord"))
+    rows = rows.withColumn("inside", inside).join(blocks, "block").withColumn("record", F.col("before") + F.col("inside"))
     name = F.max(F.when(head, F.substring_index(F.substring("value", 2, 1 << 30), " ", 1)))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~head, F.struct("ord", F.trim("value").alias("v"))))), lambda x: x["v"]), "")
     records = rows.groupBy("record").agg(name.alias("name"), body.alias("seq")).where("name is not null and seq <> ''")
