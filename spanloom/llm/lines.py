@@ -112,7 +112,7 @@ def judged_units(docs: DataFrame, min_words: int, min_line_words: int) -> DataFr
 
 def removed_units(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """(doc_id, key, unit) of each removed unit. A running rank: no digest is held in memory, whatever its copies."""
-    rank = F.rank().over(Window.partitionBy("late", "h1", "h2").orderBy(F.col("doc_id").isNull(), "doc_id", "key", "unit"))
+    rank = F.rank().over(Window.partitionBy("h1", "h2", "late").orderBy(F.col("doc_id").isNull(), "doc_id", "key", "unit"))
     return judged_units(docs, min_words, min_line_words).withColumn("rank", rank).where("late or rank > 1").select("doc_id", "key", "unit")
 
 

@@ -30,7 +30,8 @@ from spanloom.llm import textbuf
 from spanloom.llm.shared import documents, held_out
 
 SEGMENT = 64
-MAX_ROWS = 3000
+#: The training rows: so many at most, and none of more bytes, as they are held by the driver.
+MAX_ROWS, MAX_TEXT = 3000, 1 << 17
 #: Marginals under it are left out of a document's score: the many small ones of a long clean text are no evidence.
 FLOOR = 0.05
 SCHEMA = "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>"
@@ -233,12 +234,14 @@ def filter_documents(docs: DataFrame, chain: Chain, threshold: float) -> DataFra
     return docs.mapInArrow(run, docs.schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> pd.DataFrame:
-    """At most max_rows labelled rows outside the held-out fold, the smallest by a digest of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_text: int = MAX_TEXT) -> pd.DataFrame:
+    """At most max_rows labelled rows outside the held-out fold, the smallest by a digest of the id; of those, the ones of
+    more than max_text bytes are left out."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), "doc_id", "label"]
     chosen = own.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "text", "label")
+    rows = rows.where(F.col("text").isNull() | (F.octet_length("text") <= max_text))
     return rows.orderBy(*order, "text").limit(max_rows).toPandas()  # ids may repeat on both sides
 
 

@@ -352,6 +352,15 @@ def test_a_span_over_a_segment_s_edge_is_one_chain():
     assert np.allclose(whole, parts) and (parts[60:70] > 0.9).all()
 
 
+def test_training_rows_are_bounded(make, spark):
+    docs = make([(i, "word " * (i + 1)) for i in range(30)] + [(2, "again"), (3, "x" * 500)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(100)] + [(2, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels, "toxic", 10, 100)
+    assert 5 <= len(rows) <= 10 and rows["text"].str.len().max() <= 100  # labels without a document take no place
+    assert not any(fold_of(i) for i in rows["doc_id"])
+    assert rows.equals(toxicity.training_rows(docs.repartition(5), labels, "toxic", 10, 100))
+
+
 def test_toxicity_edges(make, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make([(1, None), (2, ""), (3, "fine words"), (None, "x")])
