@@ -12,7 +12,7 @@ from spanloom.functions import center, length, slop, uid
 from spanloom.operators import merge as _merge
 from spanloom.operators import nearest as _nearest
 from spanloom.operators import overlap
-from spanloom.operators.order import numbered, part_of_range
+from spanloom.operators.order import numbered, placed
 from spanloom.sources import text
 
 SCHEMA = "chrom string, start long, end long, strand string, ord long"
@@ -78,12 +78,7 @@ class Loci:
     # lookups
     def renumbered(self) -> "Loci":
         """The same order with positions from 0, without gaps. Looks at the least, the largest and the number of positions."""
-        low, high, n = self.df.agg(F.min("ord"), F.max("ord"), F.count("*")).first()
-        if not n or (low == 0 and high == n - 1):
-            return self
-        if high - low == n - 1:
-            return self._with(self.df.withColumn("ord", F.col("ord") - F.lit(low)))
-        return self._with(numbered(self.df, {"__part": part_of_range(F.col("ord"), low, high)}, [F.col("ord")], "ord"))
+        return self._with(placed(self.df, "ord", "ord"))
 
     def at(self, index: int) -> DataFrame:
         """The row at a position of the list, from its end if negative; IndexError beyond it."""
@@ -275,7 +270,7 @@ class Loci:
         lines = text.bed_lines(self.df)
         if path is not None:
             text.write_lines(lines, path)
-        return lines.select("value")
+        return lines.orderBy("ord").select("value")
 
     def to_frame(self, names: Column | None = None) -> DataFrame:
         name = (names if names is not None else uid()).alias("Name")

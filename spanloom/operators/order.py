@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKETS = 4096
+#: Positions that lie close together, as the numbers of a text's lines do, are numbered in blocks of 2^BLOCK.
+BLOCK, MOST_BLOCKS = 18, 65_536
 
 
 def numbered(df: DataFrame, buckets: dict[str, Column], order: list[Column], name: str) -> DataFrame:
@@ -32,3 +34,16 @@ def part_of_range(value: Column, low, high, parts: int = BUCKETS) -> Column:
     """Equal parts of [low, high], ascending with the value."""
     width = (high - low) / parts or 1
     return F.floor((value - F.lit(low)) / F.lit(width)).cast("long")
+
+
+def placed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with `name`: the row's place, from 0, in order of the long column `by`; as it is where `by` has these places.
+
+    Looks at the least and the largest of `by`, their number and the number of blocks that they fill.
+    """
+    low, high, n, blocks = df.agg(F.min(by), F.max(by), F.count("*"), F.approx_count_distinct(F.shiftright(by, BLOCK))).first()
+    others = [c for c in df.columns if c != name]
+    if not n or high - low == n - 1:
+        return df.select(*others, (F.col(by) - F.lit(low or 0)).alias(name))
+    part = F.shiftright(by, BLOCK) if blocks <= MOST_BLOCKS else part_of_range(F.col(by), low, high)
+    return numbered(df, {"__part": part}, [F.col(by)], name)

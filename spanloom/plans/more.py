@@ -11,7 +11,7 @@ from spanloom.operators import signal as _signal
 from spanloom.operators.genes import Genes
 from spanloom.operators.graph import Architecture
 from spanloom.operators.loci import Loci
-from spanloom.operators.order import numbered, part_of_range
+from spanloom.operators.order import placed
 from spanloom.operators.rounds import folder
 from spanloom.operators.tags import Tags
 from spanloom.plans.queries import _E, _EDGES, _NEAREST, _SIG, _WEIGHTS, CHROMLEN, OVERLAP, UID, _bins_sql, _graph, _profile, _signal_sql, a, architecture, b, genes, gtf_lines, matrix, plain, query, tags, tracks
@@ -151,8 +151,7 @@ def bedpe_file(spark):
     path = f"{folder(spark)}/own.bedpe"
     text.write_lines(spark.table("loops_v").selectExpr("concat_ws('\t', chrom1, s1, e1, chrom2, s2, e2) as value", "loop_id as ord"), path)
     rows = text.read_bedpe(spark, path).selectExpr("chrom1", "start1 as s1", "end1 as e1", "chrom2", "start2 as s2", "end2 as e2", "loop_id")
-    low, high = rows.agg(F.min("loop_id"), F.max("loop_id")).first()
-    return numbered(rows, {"__part": part_of_range(F.col("loop_id"), low, high)}, [F.col("loop_id")], "pos").drop("loop_id")
+    return placed(rows, "loop_id", "pos").drop("loop_id")
 
 
 @query("select concat('g', gene_id) as name, repeat('ACGT', (ord % 50)::int + 1) as seq from genes_v", "genes_v")

@@ -8,6 +8,7 @@ Spark gives without a pass over the data. Every parser also takes a DataFrame of
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,12 +53,31 @@ def parse_bed(lines: DataFrame) -> DataFrame:
 def bed_lines(df: DataFrame) -> DataFrame:
     from spanloom.functions import uid
 
-    return df.orderBy("ord").select(F.concat_ws("\t", "chrom", "start", "end", uid(), F.lit("0"), "strand").alias("value"), "ord")
+    return df.select(F.concat_ws("\t", "chrom", "start", "end", uid(), F.lit("0"), "strand").alias("value"), "ord")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One file, in order: for exports that a genome browser opens. Its rows stream through one task."""
-    lines.orderBy("ord").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """One file, in order: for exports that a genome browser opens.
+
+    Parts of the order are sorted and written side by side, then their bytes are appended to the one file in
+    the order of the parts, so that no task holds more than its part.
+    """
+    spark = lines.sparkSession
+    parts = f"{path.rstrip('/')}-parts-{uuid.uuid4().hex}"
+    lines.orderBy("ord").select("value").write.option("compression", "none").text(parts)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    fs = source.getFileSystem(conf)
+    fs.delete(target, True)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(source) if x.getPath().getName().startswith("part-"))
+    out = fs.create(hadoop.fs.Path(target, "part-00000.txt"), True)
+    for name in names:
+        piece = fs.open(hadoop.fs.Path(source, name))
+        hadoop.io.IOUtils.copyBytes(piece, out, 1 << 20, False)
+        piece.close()
+    out.close()
+    fs.create(hadoop.fs.Path(target, "_SUCCESS"), True).close()
+    fs.delete(source, True)
 
 
 def attribute(text: Column, key: str) -> Column:
@@ -65,7 +85,8 @@ def attribute(text: Column, key: str) -> Column:
     # one greedy search a key, so that the expression stays in generated code
     own = F.regexp_extract(text, f"^(?s:(?:.*;)?) *({re.escape(key)}(?: [^;]*)?)(?:;|$)", 1)
     value = F.trim(F.replace(F.substring(own, len(key) + 2, 1 << 30), F.lit('"'), F.lit("")))
-    return F.when(own != "", value)
+    # most rows lack some keys, and a failing search is the dearest
+    return F.when(F.contains(text, F.lit(key)) & (own != ""), value)
 
 
 def read_gtf(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -96,3 +96,33 @@ def test_first_tag_of_a_name_in_any_case_wins(spark):
     loci = Loci.of(spark, [("c", 0, 1), ("c", 1, 2)])
     t = Tags.make(loci).add({"Peak": ["c:0-1(.)"], "PEAK": ["c:1-2(.)"]})
     assert t.resolve("peak") == "Peak" and t.resolve("PEAK") == "PEAK"
+
+
+def test_close_positions_are_numbered_in_blocks(spark):
+    """Ids of a text's splits, two clumps 2^33 apart, fill more than one bucket a clump."""
+    from spanloom.operators.order import placed
+
+    ids = spark.range(600_000).selectExpr("(id div 300000 << 33) + id % 300000 as ord", "id")
+    out = placed(ids, "ord", "pos")
+    assert "shiftright" in out._jdf.queryExecution().optimizedPlan().toString().lower() or ">> 18" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.where("pos <> id").isEmpty() and out.count() == 600_000
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    """No task sorts or holds the whole; the order is that of the lines."""
+    from spanloom.sources import text
+
+    lines = spark.range(20_000).selectExpr("cast(id as string) as value", "id as ord").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.sparkContext.setJobGroup("one-file", "")
+    try:
+        text.write_lines(lines, str(tmp_path / "own.txt"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    last = max(s for j in tracker.getJobIdsForGroup("one-file") for s in tracker.getJobInfo(j).stageIds)
+    assert tracker.getStageInfo(last).numTasks == 4
+    files = [p for p in (tmp_path / "own.txt").iterdir() if p.name.startswith("part-")]
+    assert len(files) == 1 and files[0].read_text().split() == [str(i) for i in range(20_000)]
+    assert [p.name for p in tmp_path.iterdir()] == ["own.txt"]
