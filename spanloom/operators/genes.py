@@ -9,6 +9,7 @@ from spanloom.functions import tss_end, tss_start, uid
 from spanloom.operators.loci import Loci
 from spanloom.operators.merge import merge
 from spanloom.operators.overlap import overlap_pairs
+from spanloom.operators.rounds import Rounds
 from spanloom.sources import text
 
 #: Annotation classes in order of priority.
@@ -23,7 +24,7 @@ class Genes:
     def __init__(self, genes: DataFrame, transcripts: DataFrame, features: DataFrame, promoter_r: int = 1000, filename: str | None = None, unmapped: DataFrame | None = None):
         self.genes, self.transcripts, self.features = genes, transcripts, features
         self.promoter_r, self.filename, self.unmapped = promoter_r, filename, unmapped
-        self.rows: DataFrame | None = None
+        self._tables: Rounds | None = None
         self._sets: dict[str, DataFrame] = {}
 
     @classmethod
@@ -37,17 +38,18 @@ class Genes:
 
         A repeated gene row replaces the one before it; a transcript of an unseen gene makes a
         gene of its own coordinates without name and type. UTRs without a side are placed by the
-        transcript's first CDS in file order. The parsed rows feed many small sets, so they are kept
-        (in memory, else on disk) while the session needs them; release() lets them go.
+        transcript's first CDS in file order. The parsed rows, genes and features feed many small sets, so
+        each is written once as a table; release() deletes them.
         """
-        rows = rows.persist()
+        tables = Rounds(rows.sparkSession)
+        rows = tables.table(rows)
         locus = ["chrom", "start", "end", "strand"]
         last = rows.where("feature = 'gene'").groupBy("gene_id").agg(F.max_by(F.struct(F.coalesce("gene_name", "gene_id").alias("gene_name"), "gene_type", *locus, "ord"), "ord").alias("g"))
         named = last.select("gene_id", "g.*")
         transcripts = rows.where("feature = 'transcript'").groupBy("transcript_id", "gene_id").agg(F.max_by(F.struct(*locus, "ord"), "ord").alias("t")).select("transcript_id", "gene_id", "t.*")
         stub = rows.where("feature = 'transcript'").join(last, "gene_id", "left_anti").groupBy("gene_id").agg(F.min_by(F.struct(*locus, "ord"), "ord").alias("t"))
         stub = stub.select("gene_id", F.lit("").alias("gene_name"), F.lit("").alias("gene_type"), "t.*")
-        genes = named.unionByName(stub)
+        genes = tables.table(named.unionByName(stub))
         parts = rows.where("feature in ('exon', 'CDS', 'UTR', 'five_prime_UTR', 'three_prime_UTR')")
         cds = rows.where("feature = 'CDS'").groupBy("gene_id", "transcript_id").agg(F.min_by("start", "ord").alias("cds_start"))
         features = parts.join(cds, ["gene_id", "transcript_id"], "left").select(
@@ -55,13 +57,13 @@ class Genes:
         )
         known = ["gene", "transcript", "exon", "CDS", "UTR", "five_prime_UTR", "three_prime_UTR"]
         out = cls(genes, transcripts, features, promoter_r, filename, rows.where(~F.col("feature").isin(known)).select("feature").distinct())
-        out.rows = rows
+        out._tables = tables
         return out
 
     def release(self) -> None:
-        """Lets go of what is kept of the model: its parsed rows and its merged annotation sets."""
-        for kept in (*self._sets.values(), *([self.rows] if self.rows is not None else [])):
-            kept.unpersist()
+        """Deletes what is kept of the model: its parsed rows, genes and annotation sets. No use of it may follow."""
+        if self._tables is not None:
+            self._tables.drop(kept=0)
         self._sets.clear()
 
     def __repr__(self) -> str:
@@ -96,16 +98,19 @@ class Genes:
         return Loci(self.tss(key=key).drop("name")).slop(self.promoter_r)
 
     def annotation_sets(self, key: str = "gene_name") -> DataFrame:
-        """(class, priority, chrom, start, end): bodies as they are, the other four sets merged. Kept, as a join reads them several times."""
+        """(class, priority, chrom, start, end): bodies as they are, the other four sets merged. Written once, as a join reads them several times."""
         if key not in self._sets:
-            self._sets[key] = self._annotation_sets(key).persist()
+            self._tables = self._tables or Rounds(self.genes.sparkSession)
+            self._sets[key] = self._tables.table(self._annotation_sets(key))
         return self._sets[key]
 
     def _annotation_sets(self, key: str) -> DataFrame:
         locus = ["chrom", "start", "end", "strand", "ord"]
         kind = F.when(F.col("feature") == "exon", 3).when(F.col("utr_type") == "5'", 1).when(F.col("utr_type") == "3'", 2)
         parts = self.features.select(kind.alias("priority"), *locus).where("priority is not null")
-        merged = merge(parts.unionByName(self.tss_windows(key).df.select(F.lit(0).alias("priority"), *locus)), by=("priority",))
+        # a merge reads its rows several times
+        parts = self._tables.table(parts.unionByName(self.tss_windows(key).df.select(F.lit(0).alias("priority"), *locus)))
+        merged = merge(parts, by=("priority",))
         rows = merged.select("priority", "chrom", "start", "end").unionByName(self.genes.select(F.lit(4).alias("priority"), "chrom", "start", "end"))
         return rows.select(F.get(F.array(*[F.lit(c) for c in CLASSES]), F.col("priority")).alias("class"), "priority", "chrom", "start", "end")
 

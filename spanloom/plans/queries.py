@@ -164,19 +164,26 @@ def bed_roundtrip(spark):
     return plain(text.parse_bed(lines)).drop("ord")
 
 
+def dealt(spark: SparkSession, name: str) -> DataFrame:
+    """A derived table of genes, dealt out over all cores before it grows."""
+    return spark.table(name).repartition(3 * spark.sparkContext.defaultParallelism, "gene_id")
+
+
 def gtf_lines(spark: SparkSession) -> DataFrame:
-    """Lines of a feature file of the derived genes: gene, transcript, exons, a CDS and two UTRs each."""
+    """Lines of a feature file of the derived genes: gene, transcript, exons, a CDS and two UTRs each.
+
+    A gene is few bytes of the parts' table, which is one split for millions of them, but nine lines to
+    write and parse: the genes are dealt out first.
+    """
     gene = "concat('gene_id \"', gene_id, '\"; gene_name \"', gene_name, '\"; gene_type \"', gene_type, '\";')"
     t = "concat('gene_id \"', gene_id, '\"; transcript_id \"T', substr(gene_id, 2), '\"; exon_number ', {n}, ';')"
     row = "concat_ws('\t', chrom, 'x', '{f}', {s}, {e}, '.', strand, '.', {attr})"
-    g = spark.table("genes_v")
+    g = dealt(spark, "genes_v")
     parts = [("gene", "s", "e", gene, 0), ("transcript", "s", "e", t.format(n="''"), 1)]
     parts += [("CDS", "s + 10", "e - 10", t.format(n="2"), 5), ("UTR", "s", "s + 10", t.format(n="1"), 6), ("UTR", "e - 10", "e", t.format(n="3"), 7)]
-    out = None
-    for f, s, e, attr, k in parts:
-        rows = g.selectExpr(row.format(f=f, s=s, e=e, attr=attr) + " as value", f"ord*10 + {k} as ord")
-        out = rows if out is None else out.unionByName(rows)
-    x = spark.table("exons_v").selectExpr("concat_ws('\t', chrom, 'x', 'exon', sx, ex, '.', strand, '.', " + "concat('gene_id \"', gene_id, '\"; transcript_id \"', transcript_id, '\"; exon_number ', exon_number, ';')) as value", "ord")
+    lines = ", ".join(f"struct({row.format(f=f, s=s, e=e, attr=attr)} as value, ord*10 + {k} as ord)" for f, s, e, attr, k in parts)
+    out = g.selectExpr(f"explode(array({lines})) as x").select("x.*")
+    x = dealt(spark, "exons_v").selectExpr("concat_ws('\t', chrom, 'x', 'exon', sx, ex, '.', strand, '.', " + "concat('gene_id \"', gene_id, '\"; transcript_id \"', transcript_id, '\"; exon_number ', exon_number, ';')) as value", "ord")
     return out.unionByName(x.withColumn("ord", F.expr("(ord div 10) * 10 + ord % 10 + 1")))
 
 

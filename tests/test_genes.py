@@ -79,3 +79,17 @@ def test_additions_and_annotation_tags(spark, tmp_path):
     assert sorted(r[0] for r in more.transcripts.select("transcript_id").collect()) == ["T1", "T2", "T3"]
     tags = Loci.of(spark, [("chr1", 1050, 1060), ("chr1", 2000, 2010)]).map({}).add_annotations(g)
     assert [r["start"] for r in tags.query(lambda x: x.exonic & x["promoter-tss"]).df.collect()] == [1050]
+
+
+def test_a_model_is_parsed_once(spark):
+    """No plan of the annotation sets, or of the genes, parses lines again; the parse runs on all cores."""
+    from spanloom.plans.queries import genes, gtf_lines
+    from spanloom.plans.views import load
+
+    load(spark, "/root/testdata/sf0.001")
+    assert gtf_lines(spark).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    g = genes(spark)
+    for df in (g.genes, g.annotation_sets()):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract" not in plan and "InMemoryRelation" not in plan
+    g.release()
