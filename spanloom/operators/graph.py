@@ -37,6 +37,13 @@ class Architecture:
 
     def __init__(self, edges: DataFrame, name: str = "Architecture", loops: DataFrame | None = None, mapped: DataFrame | None = None):
         self.edges, self.name, self.loops, self.mapped = edges, name, loops, mapped
+        self._written: DataFrame | None = None
+
+    def _table(self) -> DataFrame:
+        """The edges, written once: what follows reads them several times, and the joins that make them are the dear part."""
+        if self._written is None:
+            self._written = Rounds(self.edges.sparkSession).table(self.edges)
+        return self._written
 
     @classmethod
     def empty(cls, spark: SparkSession, name: str = "Architecture") -> "Architecture":
@@ -164,7 +171,7 @@ class Architecture:
         """
         place = nearest(loci.df, bins.select("chrom", "start", "end", F.lit(".").alias("strand"), F.col("bin_id").alias("ord")))
         of = place.groupBy(uid().alias("uid")).agg(F.max_by("b_ord", "ord").alias("bin"))
-        edges = self.edges.join(of.select(F.col("uid").alias("uid1"), F.col("bin").alias("b1")), "uid1", "left").join(of.select(F.col("uid").alias("uid2"), F.col("bin").alias("b2")), "uid2", "left")
+        edges = self._table().join(of.select(F.col("uid").alias("uid1"), F.col("bin").alias("b1")), "uid1", "left").join(of.select(F.col("uid").alias("uid2"), F.col("bin").alias("b2")), "uid2", "left")
         edges = edges.withColumn("lo", F.least("b1", "b2")).withColumn("hi", F.greatest("b1", "b2"))
         shares = edges.groupBy("lo", "hi").agg(F.count("*").alias("sharing"))
         cells = pixels.groupBy(F.least("bin1_id", "bin2_id").alias("lo"), F.greatest("bin1_id", "bin2_id").alias("hi")).agg(F.max("count").alias("cell"))
@@ -179,18 +186,19 @@ class Architecture:
         at = loci.df.groupBy(uid().alias("uid")).agg(F.max_by(F.struct("chrom", center().alias("c")), "ord").alias("p"))
         one = at.select(F.col("uid").alias("uid1"), F.col("p").alias("p1"))
         two = at.select(F.col("uid").alias("uid2"), F.col("p").alias("p2"))
-        missing = self.vertices().join(at, "uid", "left_anti").first()
+        edges = self._table()
+        missing = edges.select(F.explode(F.array("uid1", "uid2")).alias("uid")).join(at, "uid", "left_anti").first()
         if missing:
             raise KeyError(missing[0])
         d = F.when(F.col("p1.chrom") == F.col("p2.chrom"), F.abs(F.col("p1.c") - F.col("p2.c")).cast("double"))
-        out = self.edges.drop("d").join(one, "uid1").join(two, "uid2").withColumn("d", d).drop("p1", "p2")
+        out = edges.drop("d").join(one, "uid1").join(two, "uid2").withColumn("d", d).drop("p1", "p2")
         return Architecture(out, self.name, self.loops, self.mapped)
 
     def normalize(self, loci: Loci, *, source: str = "w", name: str = "n") -> "Architecture":
         """d, and source over its power-law expectation at d as `name`."""
         if source not in self.edges.columns:
             raise ValueError(f"no property {source}")
-        out = self.with_distance(loci).edges
+        out = self.with_distance(loci)._table()
         model = powerlaw.fit(out.select("d", F.col(source).alias("w")))
         kept = out.drop(name) if name != source else out
         return Architecture(kept.withColumn(name, powerlaw.observed_over_expected(F.col("d"), F.col(source), model)), self.name, self.loops, self.mapped)

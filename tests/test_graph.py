@@ -92,3 +92,14 @@ def test_matrix_sources(spark, tmp_path):
     bins, pixels = matrix.read_matrix(spark, f"{tmp_path}::resolutions/5")
     assert bins.first()["end"] == 5 and pixels.first()["count"] == 2.0
     assert matrix.read_matrix(spark, str(tmp_path), 5)[0].count() == 1
+
+
+def test_edges_are_written_once(spark):
+    """Weights and distances read a table of the edges, not the joins that make them."""
+    from spanloom import Architecture, Loci
+
+    own = Loci.of(spark, [("c", 0, 10), ("c", 100, 110)])
+    loops = spark.createDataFrame([(1, "c", 0, 10, "c", 100, 110)], "loop_id long, chrom1 string, start1 long, end1 long, chrom2 string, start2 long, end2 long")
+    g = Architecture.of(own, loops, r=20).with_distance(own)
+    assert [(r["uid1"], r["uid2"], r["d"]) for r in g.edges.collect()] == [("c:0-10(.)", "c:100-110(.)", 100.0)]
+    assert "loop_id" in g.edges.columns and "start1" not in g.edges._jdf.queryExecution().optimizedPlan().toString()
