@@ -7,14 +7,21 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanloom.functions import center, length, slop, uid
 from spanloom.operators import merge as _merge
 from spanloom.operators import nearest as _nearest
 from spanloom.operators import overlap
 from spanloom.operators.order import numbered, placed
+from spanloom.operators.rounds import Rounds
 from spanloom.sources import text
 
+def _tiles() -> dict[str, Column]:
+    """The buckets of a sort: tiles of 65,536 bases."""
+    return {"__chrom": F.col("chrom"), "__tile": F.shiftright("start", 16)}
+
+
 SCHEMA = "chrom string, start long, end long, strand string, ord long"
 
 
@@ -28,6 +35,8 @@ class Loci:
             df = df.withColumn("ord", F.monotonically_increasing_id())
         self.df = df.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "strand", F.col("ord").cast("long").alias("ord"))
         self.filename = filename
+        self._source: DataFrame | None = None  # of sorted loci: the rows before
+        self._tiles: DataFrame | None = None
 
     @classmethod
     def make(cls, spark: SparkSession, filename: str, filetype: str | None = None) -> "Loci":
@@ -69,8 +78,26 @@ class Loci:
 
         Tiles of 65,536 bases are the buckets of the numbering, so nothing is sorted as a whole.
         """
-        tiles = {"__chrom": F.col("chrom"), "__tile": F.shiftright("start", 16)}
-        return self._with(numbered(self.df, tiles, [F.col("start"), F.col("ord")], "ord"))
+        out = self._with(numbered(self.df, _tiles(), [F.col("start"), F.col("ord")], "ord"))
+        out._source = self.df
+        return out
+
+    def _places(self, low: int, high: int | None) -> DataFrame:
+        """Of sorted loci, the rows at the positions from low to before high: only tiles that hold some are sorted.
+
+        The sizes of the tiles are written once.
+        """
+        if self._tiles is None:
+            before = F.sum("n").over(Window.orderBy("c", "t").rowsBetween(Window.unboundedPreceding, -1))
+            sizes = self._source.withColumns(_tiles()).groupBy(F.col("__chrom").alias("c"), F.col("__tile").alias("t")).agg(F.count("*").alias("n"))
+            self._tiles = Rounds(self.df.sparkSession).table(sizes.withColumn("first", F.coalesce(before, F.lit(0))))
+        held = self._tiles.where(F.col("first") + F.col("n") > low)
+        if high is not None:
+            held = held.where(F.col("first") < high)
+        rows = self._source.withColumns(_tiles()).join(held, F.col("__chrom").eqNullSafe(F.col("c")) & F.col("__tile").eqNullSafe(F.col("t")))
+        place = F.col("first") + F.row_number().over(Window.partitionBy("__chrom", "__tile").orderBy("start", "ord")) - 1
+        rows = rows.withColumn("ord", place.cast("long")).select(*self.df.columns).where(F.col("ord") >= low)
+        return rows if high is None else rows.where(F.col("ord") < high)
 
     def merge(self) -> "Loci":
         return self._with(_merge.merge(self.df))
@@ -78,10 +105,18 @@ class Loci:
     # lookups
     def renumbered(self) -> "Loci":
         """The same order with positions from 0, without gaps. Looks at the least, the largest and the number of positions."""
+        if self._source is not None:
+            return self
         return self._with(placed(self.df, "ord", "ord"))
 
     def at(self, index: int) -> DataFrame:
         """The row at a position of the list, from its end if negative; IndexError beyond it."""
+        if self._source is not None:
+            at = index if index >= 0 else self._source.count() + index
+            found = self._places(at, at + 1)
+            if at < 0 or found.isEmpty():
+                raise IndexError(index)
+            return found
         rows = self.renumbered()
         found = rows.df.where(F.col("ord") == (index if index >= 0 else rows.count() + index))
         if found.isEmpty():
@@ -94,7 +129,9 @@ class Loci:
             raise ValueError("the step must be positive")
         rows = self.renumbered()
         if min(start or 0, stop or 0) < 0:
-            start, stop, _ = slice(start, stop).indices(rows.count())
+            start, stop, _ = slice(start, stop).indices((rows.df if self._source is None else self._source).count())
+        if self._source is not None and stop is not None:  # a part of the list, which is written once
+            return self._with(Rounds(self.df.sparkSession).table(self._places(start or 0, stop).where((F.col("ord") - (start or 0)) % step == 0)))
         kept = F.col("ord") >= (start or 0)
         if stop is not None:
             kept = kept & (F.col("ord") < stop)

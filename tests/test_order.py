@@ -126,3 +126,16 @@ def test_one_file_is_written_by_many_tasks(spark, tmp_path):
     files = [p for p in (tmp_path / "own.txt").iterdir() if p.name.startswith("part-")]
     assert len(files) == 1 and files[0].read_text().split() == [str(i) for i in range(20_000)]
     assert [p.name for p in tmp_path.iterdir()] == ["own.txt"]
+
+
+def test_a_position_sorts_only_its_tile(many):
+    """at() of sorted loci never numbers all rows."""
+    loci, rows = many
+    ranked = [(c, s) for c, s, _ in sorted(rows)]
+    x = loci.sort()
+    assert [(r["chrom"], r["start"]) for i in (0, 57, -1, -100) for r in x.at(i).collect()] == [ranked[i] for i in (0, 57, -1, -100)]
+    assert [r[:2] for r in starts(x[40:60])] == ranked[40:60] and x._tiles is not None
+    assert x.at(3)._jdf.queryExecution().optimizedPlan().toString().count("Window") <= 2
+    for wrong in (100, -101):
+        with pytest.raises(IndexError):
+            x.at(wrong)
