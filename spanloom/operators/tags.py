@@ -57,14 +57,18 @@ class Tags:
         """
         if not isinstance(mapping, Mapping):
             raise TypeError("tags are added as a mapping")
-        for name, payload in mapping.items():
-            kind, rows = self._entry(payload, mode)
-            if mode == "uid":
-                missing = rows.join(self.known(), "uid", "left_anti").first()
-                if missing:
-                    raise KeyError(missing["uid"])
-            self.entries[str(name)] = (kind, rows)
-            self._aliases[str(name)] = aliases(str(name))
+        entries = {str(name): self._entry(payload, mode) for name, payload in mapping.items()}
+        if mode == "uid" and entries:
+            # all tags are checked by one aggregate
+            seen = self.loci.df.select(uid().alias("uid"), F.lit(True).alias("there"))
+            for _, rows in entries.values():
+                seen = seen.unionByName(rows.select("uid", F.lit(False).alias("there")))
+            missing = seen.groupBy("uid").agg(F.max("there").alias("there")).where(~F.col("there")).first()
+            if missing:
+                raise KeyError(missing["uid"])
+        for name, entry in entries.items():
+            self.entries[name] = entry
+            self._aliases[name] = aliases(name)
         return self
 
     def add_annotations(self, genes) -> "Tags":
@@ -242,7 +246,14 @@ class Selection:
         return Loci(self.frame())
 
     def uids(self) -> DataFrame:
-        return self.frame().select(uid().alias("uid")).distinct()
+        if any(len(rows.columns) > 2 for rows in self.sources.values()):
+            return self.frame().select(uid().alias("uid")).distinct()
+        # of sets alone: one aggregate of marks instead of a join a set
+        marks = self.tags.loci.df.select(uid().alias("uid"), F.lit(True).alias("__there"))
+        for name, rows in self.sources.items():
+            marks = marks.unionByName(rows.select("uid", name), allowMissingColumns=True)
+        met = marks.groupBy("uid").agg(*[F.max(c).alias(c) for c in ("__there", *self.sources)])
+        return met.where(F.col("__there") & self.condition).select("uid")
 
     def __len__(self) -> int:
         return self.uids().count()

@@ -67,3 +67,20 @@ def test_exact_name_wins_and_overlap_mode(tags, spark):
     assert picked(own, lambda x: x.se) == [1000]
     wide = tags.loci.tag(Loci.of(spark, [("chr1", 190, 1001)]), "hit", mode="overlap")
     assert picked(wide, lambda x: x.hit) == [100, 150, 1000]
+
+
+def test_uids_of_sets_are_one_aggregate(spark):
+    """Selections of sets alone take no join a set; an unknown uid of any tag is found by one check."""
+    import pytest
+
+    from spanloom import Loci
+    from spanloom.operators.tags import Tags
+
+    x = Loci.of(spark, [("a", 1, 2), ("b", 3, 4), ("a", 1, 2), ("c", 5, 6)])
+    t = Tags.make(x).add({"one": ["a:1-2(.)", "b:3-4(.)"], "two": ["b:3-4(.)", "c:5-6(.)"]})
+    seen = []
+    t.query(lambda q: seen.extend([q.one & q.two, q.one - q.two, q.one ^ q.two]) or q.one)
+    assert [sorted(r[0] for r in s.uids().collect()) for s in seen] == [["b:3-4(.)"], ["a:1-2(.)"], ["a:1-2(.)", "c:5-6(.)"]]
+    assert "Join" not in seen[0].uids()._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(KeyError):
+        t.add({"fine": ["a:1-2(.)"], "odd": ["z:1-2(.)"]})
