@@ -135,3 +135,23 @@ def test_column_functions(spark):
     df = spark.createDataFrame([("c", -4, 1)], "chrom string, start long, end long")
     assert Loci(df).frame("center").first()[0] == -2
     assert Loci(df.withColumn("x", F.lit(1))).df.columns == ["chrom", "start", "end", "strand", "ord"]
+
+
+def test_nearest_sorts_events_once_in_small_tiles(spark):
+    """Dense loci of one 2^22 are dealt to many tiles, sorted once; ends and copies that meet, and empty tiles, change no result."""
+    from spanloom.operators import nearest
+
+    rng = random.Random(11)
+    p = [("c", s := rng.randrange(-40, 200) * 8, s + rng.choice([0, 8, 16])) for _ in range(150)] + [("d", 5, 6), ("c", 1 << 30, (1 << 30) + 1)]
+    q = [("c", s := rng.randrange(-40, 200) * 8, s + rng.choice([1, 8, 8, 40])) for _ in range(25)] * 2 + [("e", 5, 6)]
+    x, y = Loci.of(spark, p).df, Loci.of(spark, q).df
+    gap = lambda u, v: 0 if u[1] < v[2] and v[1] < u[2] else (u[1] - v[2] + 1 if v[2] <= u[1] else v[1] - u[2] + 1)
+    model = {i: min((gap(u, v), v[1], v[2], j) for j, v in enumerate(q) if v[0] == "c") for i, u in enumerate(p) if u[0] == "c"}
+    for tile in (3, nearest.TILE):
+        out = nearest.nearest(x, y, tile=tile)
+        assert {r["ord"]: (r["distance"], r["b_start"], r["b_end"], r["b_ord"]) for r in out.collect()} == model
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Window [" in line and " at#" in line]) == 1
+    dense = spark.range(20_000).selectExpr("'c' as chrom", "id * 200 as start", "id * 200 + 50 as end", "'+' as strand", "id as ord")
+    events = nearest._events(dense.select("chrom", "start", "end"), dense, nearest.TILE)
+    assert events.groupBy("tile", "chrom").count().agg({"count": "max"}).first()[0] < 2000 and events.count() == 80_000
